@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import body, materialize, ship
@@ -66,13 +66,13 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
         raise ValueError("the radius must be 2 or 4: half of it is the ball that each fingerprint emits")
     masks = [0] + [sum(1 << b for b in c) for r in range(1, radius // 2 + 1) for c in combinations(range(64), r)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    spark = fps.sparkSession
     flips = F.lit(signed).cast("array<long>") if len(signed) <= 65 else F.array(*map(F.lit, signed))
-    variants = fps.select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
-    buckets = variants.groupBy("variant").agg(F.min("fp").alias("u"), F.max("fp").alias("v"), F.count("*").alias("n")).where("n > 1")
-    pairs = buckets.where("n = 2").select("u", "v")
-    more = buckets.where("n > 2").select("variant", "u").join(variants, "variant").select("u", F.col("fp").alias("v"))
-    return pairs.unionByName(more).where("u <> v").distinct().where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
+    # The variants leave from as many tasks as there are partitions, and are shuffled once.
+    spread = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    variants = spread.select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
+    least = F.first("fp").over(Window.partitionBy("variant").orderBy("fp"))
+    pairs = variants.select(least.alias("u"), F.col("fp").alias("v")).where("u <> v").distinct()
+    return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
