@@ -25,7 +25,7 @@ def near_dedup(spark, docs, sf_dir):
 
 
 def substring(spark, docs, sf_dir):
-    cut = substring_dedup.dedup_substrings(docs, batches=2, keep_text=True).where("n_removed > 0").select("doc_id", F.col("kept_text"))
+    cut = substring_dedup.dedup_substrings(docs, splits=(0.2,), keep_text=True).where("n_removed > 0").select("doc_id", F.col("kept_text"))
     out = docs.join(cut, "doc_id", "left").withColumn("text", F.coalesce("kept_text", "text")).where("kept_text is null or kept_text <> ''")
     return out.withColumn("n_chars", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType))).select(*docs.columns)
 

@@ -38,7 +38,7 @@ def op5_quality_rules(spark, sf_dir):
 
 
 def op6_substring_dedup(spark, sf_dir):
-    return substring_dedup.dedup_substrings(read(spark, sf_dir, "documents"), batches=2)
+    return substring_dedup.dedup_substrings(read(spark, sf_dir, "documents"), splits=(0.2,))
 
 
 def op7_simhash(spark, sf_dir):

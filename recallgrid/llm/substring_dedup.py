@@ -170,6 +170,7 @@ class WindowIndex:
         texts = store.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("body")).join(spans, "doc_id")
         windows = materialize(texts.select("doc_id", "body", "spans").mapInArrow(_windows(w), "doc_id long, start int, wa long, wb long"), "windows")
         firsts = windows.groupBy("wa", "wb").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+        firsts = materialize(firsts, "firsts")  # apart from the join, whose hot digests Spark can then split
         cut = windows.join(firsts, ["wa", "wb"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
         if self.runs:
             cut = cut.join(fp.select("doc_id"), "doc_id", "left_semi")
@@ -219,17 +220,17 @@ def _apply(window: int, keep_text: bool):
     return run
 
 
-def dedup_substrings(docs: DataFrame, batches: int = 1, window: int = WINDOW, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, splits: tuple[float, ...] = (), window: int = WINDOW, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (keep_text adds kept_text) for every row.
 
-    ``batches``: the documents enter the index in so many batches of ascending doc_id.
+    ``splits``: the documents enter the index in batches of ascending doc_id, cut at these quantiles.
     """
     spark = docs.sparkSession
     index = WindowIndex(spark, window=window, gram=gram)
     cuts = None
     edges = [None, None]
-    if batches > 1:
-        q = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [i / batches for i in range(1, batches)]).alias("q")).first()[0] or []
+    if splits:
+        q = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), list(splits)).alias("q")).first()[0] or []
         edges = [None, *sorted(set(q)), None]
     for lo, hi in zip(edges, edges[1:]):
         part = docs if lo is None else docs.where(F.col("doc_id") > lo)
