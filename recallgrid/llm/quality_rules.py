@@ -176,7 +176,7 @@ def _count(batches):
     for b in batches:
         for g, raw in zip(b.column("grp").to_pylist(), b.column("body").to_pylist()):
             words[g].update(raw.split())
-            if len(words[g]) > 200_000:
+            if sum(map(len, words.values())) > 150_000:
                 fold()
     fold()
     for g, (k, n) in grams.items():
@@ -198,7 +198,7 @@ def _scorer(key: str, model):
     return _held[key]
 
 
-def score(docs: DataFrame, max_langs: int = 16, max_entries: int = 4_000_000, cache_words: int = 800_000) -> DataFrame:
+def score(docs: DataFrame, max_langs: int = 16, max_entries: int = 4_000_000, cache_words: int = 300_000) -> DataFrame:
     """doc_id, grp, the base statistics, n_predicted and log_ppl (null without words)."""
     import numpy as np
 
