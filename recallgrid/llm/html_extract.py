@@ -286,11 +286,13 @@ def _aligned(batches):
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([met[k] for k in keys], pa.int64()), pa.array([same[k] for k in keys], pa.int64())], names=["host", "node", "met", "same"])
 
 
-def induce(pages: DataFrame, min_pages: int = 5, constant: float = 0.9) -> DataFrame:
+def induce(pages: DataFrame, min_pages: int = 5, constant: float = 0.9, salts: int = 32) -> DataFrame:
     """host, seed (skeleton), template (positions) for hosts with a template. ``pages``: page_id, host, body."""
     trees = materialize(pages.mapInArrow(_skeletons, "page_id long, host string, tree string"), "trees")
     seeds = trees.groupBy("host").agg(F.min(F.struct("page_id", "tree")).alias("s"), F.count("*").alias("n")).where(F.col("n") >= min_pages).select("host", F.col("s.tree").alias("seed"))
-    counts = trees.join(seeds, "host").select("host", "tree", "seed").mapInArrow(_aligned, "host string, node int, met long, same long")
+    # A hot host's pages go to `salts` tasks, each with a copy of its seed.
+    spread = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    counts = trees.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int")).join(spread, ["host", "salt"]).select("host", "tree", "seed").mapInArrow(_aligned, "host string, node int, met long, same long")
     constant_node = (F.col("met") >= min_pages) & (F.col("same") >= constant * F.col("met"))
     alike = F.max(F.when(F.col("node") == 0, F.col("same") / F.col("met")))
     nodes = counts.groupBy("host", "node").agg(F.sum("met").alias("met"), F.sum("same").alias("same"))

@@ -58,6 +58,7 @@ def assign_shards(docs: DataFrame, shards: int = 24, group_slack: float = 0.02)
     rows = local.join(F.broadcast(offset), "part").select("doc_id", "size", "text_crc32", "h", (F.col("before") + F.col("at")).alias("lo"), (F.col("rn") + F.col("seen")).alias("pos"))
     target = max(at, 1) / shards
     runs = rows.groupBy("h").agg(F.min("lo").alias("run_lo"), F.sum("size").alias("run_size"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("run_size") <= F.lit(group_slack * target))).drop("n")
+    runs = materialize(runs, "runs")  # apart from the join, whose hot runs Spark can then split
     middle = F.coalesce(F.col("run_lo") + F.col("run_size") / 2, F.col("lo") + F.col("size") / 2)
     placed = rows.join(runs, "h", "left").withColumn("shard", F.least(F.floor(middle / F.lit(float(target))), F.lit(shards - 1)).cast("int"))
     placed = materialize(placed.select("doc_id", "size", "text_crc32", "shard", "pos"), "placed")
