@@ -18,7 +18,7 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, ship
+from .common import body, ship, worker_state
 
 #: White space as the tokenizers library's pattern engine has it, fixed by the Unicode standard.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -38,7 +38,7 @@ def byte_symbols() -> list[str]:
 
 
 class SegmentTreeBPE:
-    def __init__(self, spec: bytes | str, cache_words: int = 400_000):
+    def __init__(self, spec: bytes | str, cache_words: int = 300_000):
         import regex
 
         model = json.loads(spec)
@@ -133,28 +133,18 @@ class SegmentTreeBPE:
         return sum(counts), " ".join(ids), " ".join(names)
 
 
-_held: dict[str, SegmentTreeBPE] = {}
-
-
-def _coder(key: str, spec) -> SegmentTreeBPE:
-    if key not in _held:
-        _held.clear()
-        _held[key] = SegmentTreeBPE(spec.value)
-    return _held[key]
-
-
 def encode(docs: DataFrame, tokenizer_path: str, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row; keep_ids adds ids (array<int>) and decoded."""
     spark = docs.sparkSession
     ship(spark)
     with open(tokenizer_path, "rb") as f:  # the driver's file; workers get its few MB by broadcast
         raw = f.read()
-    key, spec = hashlib.sha256(raw).hexdigest(), spark.sparkContext.broadcast(raw)
+    key, spec = "bpe-" + hashlib.sha256(raw).hexdigest(), spark.sparkContext.broadcast(raw)
 
     def run(batches):
         import pyarrow as pa
 
-        coder = _coder(key, spec)
+        coder = worker_state(key, lambda: SegmentTreeBPE(spec.value))
         for b in batches:
             n, i, d, ids, names = [], [], [], [], []
             for raw in b.column("body").to_pylist():

@@ -48,3 +48,26 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def body(col: str = "text"):
     """The text's UTF-8 bytes, null as empty: Python workers then need no decoding."""
     return F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")
+
+
+_state: dict = {}
+
+
+def worker_state(key, make):
+    """What a Python worker keeps between tasks: one operator's tables at a time, as workers are reused."""
+    if key not in _state:
+        _state.clear()
+        _state[key] = make()
+    return _state[key]
+
+
+def by_bytes(*columns, limit: int = 2_000_000):
+    """Slices of parallel lists of which the last holds texts: about ``limit`` bytes each."""
+    start = size = 0
+    for i, raw in enumerate(columns[-1]):
+        size += len(raw)
+        if size >= limit:
+            yield tuple(c[start : i + 1] for c in columns)
+            start, size = i + 1, 0
+    if start < len(columns[-1]):
+        yield tuple(c[start:] for c in columns)

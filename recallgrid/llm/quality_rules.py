@@ -21,11 +21,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, materialize, ship
+from .common import body, by_bytes, materialize, ship, worker_state
 
 ORDER = 4
 _SYMBOLS = b"#*$%&|<>"
-_held: dict[str, dict] = {}
 
 
 def text_stats(raw: bytes) -> tuple[list[bytes], int, int, int, int]:
@@ -191,14 +190,7 @@ def count_ngrams(docs: DataFrame, langs: list[str]) -> DataFrame:
     return rows.mapInArrow(_count, "grp string, gram long, n long").groupBy("grp", "gram").agg(F.sum("n").alias("n"))
 
 
-def _scorer(key: str, model):
-    if key not in _held:
-        _held.clear()
-        _held[key] = {"model": model.value, "words": {}}
-    return _held[key]
-
-
-def score(docs: DataFrame, max_langs: int = 16, max_entries: int = 4_000_000, cache_words: int = 300_000) -> DataFrame:
+def score(docs: DataFrame, max_langs: int = 16, max_entries: int = 4_000_000, cache_words: int = 200_000) -> DataFrame:
     """doc_id, grp, the base statistics, n_predicted and log_ppl (null without words)."""
     import numpy as np
 
@@ -214,41 +206,37 @@ def score(docs: DataFrame, max_langs: int = 16, max_entries: int = 4_000_000, ca
         model[g] = fit_kneser_ney(gram[own], n[own], max_entries // max(1, len(langs)))
     every, inv = np.unique(gram, return_inverse=True)
     pooled = fit_kneser_ney(every, np.bincount(inv, n, len(every)), max_entries)
-    key = f"{id(counted)}-{len(gram)}-{int(n.sum()) if len(n) else 0}"
+    key = f"quality-{id(counted)}-{len(gram)}-{int(n.sum()) if len(n) else 0}"
     held = spark.sparkContext.broadcast((model, pooled))
 
     def run(batches):
         import pyarrow as pa
 
-        state = _scorer(key, held)
-        cache = state["words"]
+        cache = worker_state(key, dict)
+        own_models, pooled = held.value
         for b in batches:
-            groups, bodies = b.column("grp").to_pylist(), b.column("body").to_pylist()
-            rows, new = [], {}
-            for g, raw in zip(groups, bodies):
-                stats = text_stats(raw)
-                rows.append(stats)
-                have = cache.setdefault(g, {})
-                new.setdefault(g, set()).update(w for w in stats[0] if w not in have)
-            if sum(map(len, cache.values())) > cache_words:
-                for c in cache.values():
-                    c.clear()
-                new = {}
-                for g, r in zip(groups, rows):
-                    new.setdefault(g, set()).update(r[0])
-            for g, ws in new.items():
-                ws = list(ws)
-                for i in range(0, len(ws), 50_000):
-                    part = ws[i : i + 50_000]
-                    k, starts = word_grams(part)
-                    own, other = (np.add.reduceat(score_grams(m, k), starts) for m in (state["model"][0][g], state["model"][1]))
-                    cache[g].update(zip(part, (np.logaddexp(own, other) - np.log(2.0)).tolist()))
-            lp = [sum(map(cache[g].__getitem__, r[0])) if r[0] else None for g, r in zip(groups, rows)]
-            size = [r[1] + len(r[0]) for r in rows]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("grp"), *(pa.array(x, pa.int64()) for x in ([len(r[0]) for r in rows], *([r[i] for r in rows] for i in range(1, 5)), size)), pa.array([None if x is None else -x / m for x, m in zip(lp, size)], pa.float64())],
-                names=["doc_id", "grp", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_predicted", "log_ppl"],
-            )
+            for ids, groups, bodies in by_bytes(*(b.column(c).to_pylist() for c in ("doc_id", "grp", "body"))):
+                rows, new = [], {}
+                if sum(map(len, cache.values())) > cache_words:
+                    cache.clear()
+                for g, raw in zip(groups, bodies):
+                    stats = text_stats(raw)
+                    rows.append(stats)
+                    have = cache.setdefault(g, {})
+                    new.setdefault(g, set()).update(w for w in stats[0] if w not in have)
+                for g, ws in new.items():
+                    ws = list(ws)
+                    for i in range(0, len(ws), 20_000):
+                        part = ws[i : i + 20_000]
+                        k, starts = word_grams(part)
+                        own, other = (np.add.reduceat(score_grams(m, k), starts) for m in (own_models[g], pooled))
+                        cache[g].update(zip(part, (np.logaddexp(own, other) - np.log(2.0)).tolist()))
+                lp = [sum(map(cache[g].__getitem__, r[0])) if r[0] else None for g, r in zip(groups, rows)]
+                size = [r[1] + len(r[0]) for r in rows]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), pa.array(groups, pa.string()), *(pa.array(x, pa.int64()) for x in ([len(r[0]) for r in rows], *([r[i] for r in rows] for i in range(1, 5)), size)), pa.array([None if x is None else -x / m for x, m in zip(lp, size)], pa.float64())],
+                    names=["doc_id", "grp", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_predicted", "log_ppl"],
+                )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _group(F.col("lang"), langs).alias("grp"), body().alias("body"))
     return rows.mapInArrow(run, "doc_id long, grp string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_predicted long, log_ppl double")

@@ -166,6 +166,7 @@ class WindowIndex:
         shared = every.groupBy("hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("hash")
         if self.runs:
             shared = shared.join(run.select("hash").distinct(), "hash", "left_semi")
+        shared = materialize(shared, "shared")  # apart from the join, whose hot hashes Spark can then split
         spans = every.join(shared, "hash").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
         texts = store.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("body")).join(spans, "doc_id")
         windows = materialize(texts.select("doc_id", "body", "spans").mapInArrow(_windows(w), "doc_id long, start int, wa long, wb long"), "windows")

@@ -72,7 +72,7 @@ def _count(batches):
     for b in batches:
         for raw, y in zip(b.column("body").to_pylist(), b.column("y").to_pylist()):
             seen[y].update({f for w in _words(raw) for f in features_of(w)})
-            if len(seen[0]) + len(seen[1]) > 500_000:
+            if len(seen[0]) + len(seen[1]) > 300_000:
                 yield out()
     yield out()
 
@@ -92,7 +92,7 @@ def _indices(words, vocab, cache):
         got = cache.get(w)
         if got is None:
             got = tuple(vocab[f] for f in features_of(w) if f in vocab)
-            if len(cache) > 300_000:
+            if len(cache) > 200_000:
                 cache.clear()
             cache[w] = got
         if got:
@@ -160,12 +160,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, vocabulary: i
         cache: dict = {}
         vocab, swap = held.value
         for b in batches:
-            sets = [_words(x) for x in b.column("body").to_pylist()]
-            other = [_swapped(s, swap) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("y"), pa.array([_indices(s, vocab, cache) for s in sets], pa.list_(pa.int32())), pa.array([None if s is None else _indices(s, vocab, cache) for s in other], pa.list_(pa.int32()))],
-                names=["y", "own", "swapped"],
-            )
+            own, swapped = [], []
+            for x in b.column("body").to_pylist():
+                words = _words(x)
+                other = _swapped(words, swap)
+                own.append(_indices(words, vocab, cache))
+                swapped.append(None if other is None else _indices(other, vocab, cache))
+            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(own, pa.list_(pa.int32())), pa.array(swapped, pa.list_(pa.int32()))], names=["y", "own", "swapped"])
 
     got = texts.mapInArrow(rows, "y int, own array<int>, swapped array<int>").collect()  # at most 2 * max_rows short rows
     got.sort(key=lambda r: (r.y, r.own))
