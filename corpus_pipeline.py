@@ -25,9 +25,11 @@ def near_dedup(spark, docs, sf_dir):
 
 
 def substring(spark, docs, sf_dir):
-    cut = substring_dedup.dedup_substrings(docs, splits=(0.2,), keep_text=True).where("n_removed > 0").select("doc_id", F.col("kept_text"))
-    out = docs.join(cut, "doc_id", "left").withColumn("text", F.coalesce("kept_text", "text")).where("kept_text is null or kept_text <> ''")
-    return out.withColumn("n_chars", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType))).select(*docs.columns)
+    out = substring_dedup.dedup_substrings(docs, splits=(0.2,), keep_text=True).where("n_removed < n_words or n_words = 0")
+    text = F.when(F.col("carry.had_text"), F.col("kept_text"))
+    size = F.when(F.col("n_removed") > 0, F.char_length("kept_text")).otherwise(F.col("carry.n_chars"))
+    new = {"text": text, "n_chars": size.cast(docs.schema["n_chars"].dataType)}
+    return out.select(*(new.get(c, F.col(f"carry.{c}")).alias(c) for c in docs.columns))
 
 
 def decontaminated(spark, docs, sf_dir):

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import body, materialize, shared_dir, ship
 
@@ -215,14 +216,17 @@ def _apply(window: int, keep_text: bool):
                 sha.append(hashlib.sha256(joined).hexdigest())
                 if keep_text:
                     texts.append((raw if len(kept) == len(words) else joined).decode("utf-8", "replace"))
-            cols = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())] + ([pa.array(texts, pa.string())] if keep_text else [])
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: len(cols)])
+            cols = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())] + ([pa.array(texts, pa.string()), b.column("carry")] if keep_text else [])
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "carry"][: len(cols)])
 
     return run
 
 
 def dedup_substrings(docs: DataFrame, splits: tuple[float, ...] = (), window: int = WINDOW, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (keep_text adds kept_text) for every row.
+    """doc_id, n_words, n_removed, kept_sha256 for every row.
+
+    keep_text adds kept_text, and carry: a struct of the row's columns other than its text (and
+    had_text: it wasn't null), so that no later join has to move the texts again.
 
     ``splits``: the documents enter the index in batches of ascending doc_id, cut at these quantiles.
     """
@@ -239,6 +243,9 @@ def dedup_substrings(docs: DataFrame, splits: tuple[float, ...] = (), window: in
         seen = docs if hi is None else docs.where(F.col("doc_id") <= hi)
         cut = index.add(part, seen)
         cuts = cut if cuts is None else cuts.unionByName(cut)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("body")).join(cuts.select("doc_id", "starts", F.col("starts").isNull().alias("copy")), "doc_id", "left").select("doc_id", "body", "starts", F.coalesce("copy", F.lit(False)).alias("copy"))
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if keep_text else "")
+    carry = F.struct(*(F.col(c) for c in docs.columns if c != "text"), F.col("text").isNotNull().alias("had_text")) if keep_text else F.lit(None)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("body"), carry.alias("carry")).join(cuts.select("doc_id", "starts", F.col("starts").isNull().alias("copy")), "doc_id", "left").select("doc_id", "body", "starts", F.coalesce("copy", F.lit(False)).alias("copy"), *(["carry"] if keep_text else []))
+    schema = T.StructType().add("doc_id", "long").add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
+    if keep_text:
+        schema = schema.add("kept_text", "string").add(rows.schema["carry"])
     return rows.mapInArrow(_apply(window, keep_text), schema)
