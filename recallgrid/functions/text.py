@@ -5,9 +5,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_BREAKS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
+
+
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits of any script."""
-    return F.filter(F.split(F.lower(text), r"[^\p{IsAlphabetic}\p{N}]+"), lambda x: x != "")
+    """Lower-case runs of letters and digits of any script.
+
+    ASCII separators go by translate(), so the pattern engine has only other scripts' ones to find.
+    """
+    spaced = F.translate(F.lower(text), _BREAKS, " " * len(_BREAKS))
+    return F.array_remove(F.split(F.regexp_replace(spaced, r"[^\x00-\x7F\p{IsAlphabetic}\p{N}]+", " "), " "), "")
 
 
 def snippet(text: Column, size: int = 160) -> Column:

@@ -28,11 +28,12 @@ def bm25(docs: DataFrame, query: str, k: int) -> DataFrame:
     terms = sorted({t for t in re.split(r"[\W_]+", query.lower()) if t})
     if not terms:
         return docs.select("id", F.lit(0.0).alias("score")).limit(0)
-    t = tokens(F.col("text"))
-    rows = docs.select("id", F.size(t).alias("dl"), *(F.size(F.filter(t, _same(w))).alias(f"tf{i}") for i, w in enumerate(terms)))
+    t = F.col("tokens")
+    rows = docs.select("id", tokens(F.col("text")).alias("tokens")).select("id", F.size(t).alias("dl"), *(F.size(F.filter(t, _same(w))).alias(f"tf{i}") for i, w in enumerate(terms)))
     # One row: the corpus' size, mean length and document frequencies.
     stats = rows.agg(F.count("*").alias("n"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"), *(F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(terms))))
-    hit = rows.where(" or ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))
+    # No filter on the counts here: pushed below the projection, it would cut every text into tokens again.
+    hit = rows.crossJoin(F.broadcast(stats))
     score = sum((F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) for i in range(len(terms))), F.lit(0.0))
     return hit.select("id", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(k)
 
