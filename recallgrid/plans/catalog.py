@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import filters, graph, integrity, lexical, oplog, vector
+from ..operators import filters, graph, integrity, lexical, oplog, structured, vector
 from ..sources import memory as M
 
 QUERIES: dict = {}
@@ -517,3 +517,93 @@ def x20_grounded_prompt(spark, d):
 def st6_windows(spark, d):
     e = M.table(spark, d, "events")
     return e.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).select("event_type", F.col("w.start").cast(e.schema["ts"].dataType).alias("hour"), "n")
+
+
+# Structured records
+
+
+_REC = """rec as (select vec_id as slot_id, case when vec_id % 7 <> 0 then 'm' || vec_id end as memory_id,
+  case when vec_id % 7 = 0 then 'note ' || vec_id when vec_id % 4 = 0 then 'body ' || vec_id else 'title ' || vec_id || chr(10) || 'body ' || vec_id end as display,
+  case when vec_id % 7 = 0 then []::varchar[] else ['topic:' || label, 'mod:' || (vec_id % 3)] end as tags, not (vec_id % 5 = 0 and vec_id % 7 <> 0) as is_latest from embeddings)"""
+
+
+def _records(spark, d):
+    return structured.unwrap(M.structured(spark, d))
+
+
+@query(f"with {_REC} select slot_id, memory_id, display, array_to_string(tags, ',') as tags, is_latest from rec")
+def p2_unwrap(spark, d):
+    return _records(spark, d).select("slot_id", "memory_id", "display", F.array_join("tags", ",").alias("tags"), "is_latest")
+
+
+@query(f"with {_REC} select slot_id from rec where is_latest")
+def f7_is_latest(spark, d):
+    return _records(spark, d).where("is_latest").select("slot_id")
+
+
+@query(f"with {_REC} select slot_id from rec where list_has_any(tags, ['topic:1', 'topic:2'])")
+def f8_tags_any(spark, d):
+    return structured.tagged(_records(spark, d), any_of=["topic:1", "topic:2"]).select("slot_id")
+
+
+@query(f"with {_REC} select slot_id from rec where list_has_all(tags, ['topic:1', 'mod:2'])")
+def f9_tags_all(spark, d):
+    return structured.tagged(_records(spark, d), all_of=["topic:1", "mod:2"]).select("slot_id")
+
+
+@query(f"with {_REC} select count(*) filter (memory_id is not null) as records, count(*) filter (memory_id is null) as prose from rec")
+def f10_records(spark, d):
+    r = structured.record(F.col("text"))
+    return M.structured(spark, d).agg(F.count_if(r.isNotNull()).alias("records"), F.count_if(r.isNull()).alias("prose"))
+
+
+@query(f"with {_REC} select slot_id, display from rec where list_has_any(tags, ['topic:1']) and list_has_all(tags, ['mod:0']) and is_latest order by slot_id limit 5")
+def h7_recall_by_tags(spark, d):
+    rows = structured.tagged(_records(spark, d), ["topic:1"], ["mod:0"]).where("is_latest")
+    return rows.orderBy("slot_id").limit(5).select("slot_id", "display")
+
+
+@query("select user_id as pack_id, event_id as item_id from (select *, row_number() over (partition by user_id order by event_id) as rn from events) where rn <= 5")
+def x5_context_pack(spark, d):
+    """Items of one size: the budget holds five of each pack."""
+    e = M.table(spark, d, "events").select(F.col("user_id").alias("pack_id"), F.col("event_id").alias("ordinal"), F.col("event_id").alias("item_id"), F.lit(20).alias("size"), F.lit(False).alias("mandatory"))
+    return structured.context_pack(e, 100).select("pack_id", "item_id")
+
+
+@query("""with last as (select user_id, max_by(event_type, event_id) as status, max(ts) as seen_at from events group by user_id)
+select c_custkey, case when status is null then 'no receipt' when status = 'error' then 'status' when seen_at < timestamp '2024-01-20 00:00:00' then 'expired' end as reason from customer left join last on c_custkey = user_id""")
+def x13_readiness(spark, d):
+    last = M.table(spark, d, "events").groupBy(F.col("user_id").alias("c_custkey")).agg(F.max_by("event_type", "event_id").alias("status"), F.max("ts").alias("at"))
+    reason = F.when(F.col("status").isNull(), "no receipt").when(F.col("status") == "error", "status").when(F.col("at") < F.lit("2024-01-20 00:00:00").cast("timestamp"), "expired")
+    return M.table(spark, d, "customer").select("c_custkey").join(last, "c_custkey", "left").select("c_custkey", reason.alias("reason"))
+
+
+@query("select count(distinct user_id) as tasks, count(distinct user_id) filter (event_type = 'error') as failed, date_diff('day', min(ts)::date, max(ts)::date) as days, count(distinct user_id) >= 100 as gate from events")
+def a7_release_report(spark, d):
+    days = F.date_diff(F.max("ts").cast("date"), F.min("ts").cast("date"))
+    return M.table(spark, d, "events").agg(F.count_distinct("user_id").alias("tasks"), F.count_distinct(F.when(F.col("event_type") == "error", F.col("user_id"))).alias("failed"), days.alias("days"), (F.count_distinct("user_id") >= 100).alias("gate"))
+
+
+@query(f"""with {_CUR}, ask as (select vec_id as query_id, embedding::double[] as qv from embeddings where vec_id % 25 = 0),
+a as (select query_id, slot_id, row_number() over (partition by query_id order by list_cosine_similarity(vector::double[], ask.qv) desc, slot_id) as rn from cur, ask),
+b as (select query_id, slot_id, row_number() over (partition by query_id order by list_dot_product(vector::double[], ask.qv) / sqrt(list_dot_product(vector::double[], vector::double[])) desc, slot_id) as rn from cur, ask)
+select count(*) / 10.0::double / count(distinct a.query_id) as overlap from a join b using (query_id, slot_id) where a.rn <= 10 and b.rn <= 10""")
+def a10_overlap(spark, d):
+    """Mean overlap at 10 of the batched recall with itself over normalised vectors."""
+    m = M.memories(spark, d)
+    asked = M.table(spark, d, "embeddings").where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    a = vector.recall_batch(m, asked, 10).select("query_id", "slot_id")
+    b = vector.recall_batch(m.withColumn("vector", V.normalise(V.doubles(F.col("vector")))), asked, 10).select("query_id", "slot_id")
+    n = a.select("query_id").distinct().agg(F.count("*").alias("n"))
+    return a.join(b, ["query_id", "slot_id"]).agg(F.count("*").alias("hits")).crossJoin(F.broadcast(n)).select((F.col("hits") / 10.0 / F.col("n")).alias("overlap"))
+
+
+@query("""with t as (select o_orderpriority as kind, o_orderstatus as paths, count(*) as n from orders group by 1, 2) select kind, paths, greatest(0, 3 - n) as missing from t""")
+def x16_candidates(spark, d):
+    t = M.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("kind"), F.col("o_orderstatus").alias("paths")).agg(F.count("*").alias("n"))
+    return t.select("kind", "paths", F.greatest(F.lit(0), 3 - F.col("n")).alias("missing"))
+
+
+@query(f"with {_EDGES} select count(distinct src) as nodes, count(*) as edges, count(distinct edge_type) as kinds from edges")
+def g13_status(spark, d):
+    return M.edges(spark, d).agg(F.count_distinct("src").alias("nodes"), F.count("*").alias("edges"), F.count_distinct("edge_type").alias("kinds"))

@@ -91,3 +91,14 @@ def records(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([p] * len(out), pa.string()), pa.array(range(len(out)), pa.int64()), pa.array(out, pa.string())], names=["path", "row", "text"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(rows, "path string, row long, text string")
+
+
+def structured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """slot_id, text: records as JSON for most memories, prose or broken JSON for the rest."""
+    v = F.col("vec_id")
+    tags = F.concat(F.lit('["topic:'), F.col("label").cast("string"), F.lit('","mod:'), (v % 3).cast("string"), F.lit('"]'))
+    latest = F.when(v % 5 == 0, F.lit(',"is_latest":false')).otherwise(F.lit(""))
+    title = F.when(v % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("title "), v.cast("string")))
+    text = F.concat(F.lit('{"id":"m'), v.cast("string"), F.lit('","title":"'), title, F.lit('","content":"body '), v.cast("string"), F.lit('","tags":'), tags, latest, F.lit("}"))
+    prose = F.concat(F.lit("note "), v.cast("string"))
+    return table(spark, sf_dir, "embeddings").select(v.alias("slot_id"), F.when(v % 7 == 0, prose).otherwise(text).alias("text"))

@@ -113,3 +113,25 @@ def test_stream_keeps_the_index(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "index"))
     assert got.count() == 2
     assert index.lag(spark.read.parquet(str(tmp_path / "ops")), got).first().lag == 0
+
+
+def test_records(spark):
+    from recallgrid.operators import structured
+
+    texts = ['{"id":"a","title":"t","content":"c","tags":["x","y"],"is_latest":false}', '{"id":5,"content":"n"}', '{"content":"no id"}', '{"id":"b"', "plain", '{"id":"d","content":"only"}', None]
+    df = spark.createDataFrame(list(enumerate(texts)), "slot_id long, text string")
+    got = {r.slot_id: (r.memory_id, r.display, r.is_latest) for r in structured.unwrap(df).collect()}
+    assert got[0] == ("a", "t\nc", False) and got[5] == ("d", "only", True)
+    assert [got[i][0] for i in (1, 2, 3, 4, 6)] == [None] * 5 and got[4][1] == "plain"
+    tags = spark.createDataFrame([([" a", "a", "", "b "] + [str(i) for i in range(9)],)], "t array<string>").select(structured.normalised_tags(F.col("t"))).first()[0]
+    assert tags == ["a", "b", "0", "1", "2", "3", "4", "5"]
+
+
+def test_context_pack_skips_and_fails(spark):
+    from recallgrid.operators import structured
+
+    schema = "pack_id long, ordinal long, item_id long, size long, mandatory boolean"
+    items = spark.createDataFrame([(1, 1, 10, 60, True), (1, 2, 11, 50, False), (1, 3, 12, 30, False)], schema)
+    assert [(r.item_id, r.used) for r in structured.context_pack(items, 100).collect()] == [(10, 60), (12, 90)]
+    with pytest.raises(Exception, match="over the budget"):
+        structured.context_pack(items, 50).collect()
