@@ -59,4 +59,24 @@ def op10_quality_classifier(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_toxicity, op3_sharding, op4_bpe, op5_quality_rules, op6_substring_dedup, op7_simhash, op8_decontamination, op9_html_extraction, op10_quality_classifier)}
 
-SQL: dict[str, str] = {}
+_SPACED = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: The others need hashes, models or a tokenizer that SQL hasn't; tests/llm has brute-force versions.
+SQL: dict[str, str] = {
+    "op6_substring_dedup": f"""with t as (select doc_id, {_SPACED} as w from documents),
+win as (select doc_id, i, array_to_string(w[i : i + 49], ' ') as s from t, unnest(range(1, len(w) - 48)) u(i)),
+dup as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by s) as first from win) where first < doc_id),
+gone as (select distinct doc_id, i + j as p from dup, range(0, 50) r(j)),
+words as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as p from t),
+kept as (select doc_id, count(*) as n, string_agg(x, ' ' order by p) as txt from words anti join gone using (doc_id, p) group by doc_id)
+select doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(txt, '')) as kept_sha256 from t left join kept using (doc_id)""",
+    "op8_decontamination": f"""with d as (select doc_id, {_ALNUM} as w from documents), b as (select item_id::varchar as item_id, {_ALNUM} as w from benchmark),
+bw as (select distinct item_id, least(len(w), 10) as n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') as s from b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) u(i) where len(w) > 0),
+dw as (select doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') as s from d, (select distinct n from bw) l, unnest(range(1, len(w) - n + 2)) u(i)),
+hit as (select doc_id, i, n, s from dw semi join bw using (s)),
+cov as (select doc_id, count(distinct i + j) as n_hit from hit, range(0, 10) r(j) where j < n group by doc_id),
+named as (select doc_id, list_sort(list(distinct item_id)) as items from hit join bw using (s) group by doc_id)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(len(items), 0) as n_items, sha256(coalesce(array_to_string(items, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join cov using (doc_id) left join named using (doc_id)""",
+}

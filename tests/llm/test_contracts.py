@@ -275,3 +275,16 @@ def test_pipeline(spark, docs, pairs):
         if name != "bpe":
             assert out.columns == docs.columns
         at = out
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    got = con.execute(queries.SQL[name])
+    cols = [c[0] for c in got.description]
+    df = queries.QUERIES[name](spark, SF)
+    assert sorted(cols) == sorted(df.columns)
+    assert sorted(tuple(r[c] for c in cols) for r in df.collect()) == sorted(got.fetchall())
