@@ -1 +1,2 @@
-
+"""Query catalog."""
+from . import catalog, fusion  # noqa: F401
