@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import lexical, structured, vector
+from . import graph, lexical, structured, vector
 
 
 def lexical_lane(rows: DataFrame, query: str, wide: int) -> DataFrame:
@@ -49,13 +49,8 @@ def rerank(hits: DataFrame, n: int, scorer: Callable[[Column], Column] | None =
 
 def reach(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """slot_id of the seeds and all within ``hops`` edges of any type, through any node."""
-    e = edges.select("src", "dst").distinct()
-    seen = front = seeds.select("slot_id").distinct()
-    for _ in range(hops):
-        step = front.join(e, F.col("slot_id") == F.col("src")).select(F.col("dst").alias("slot_id")).distinct()
-        front = step.join(seen, "slot_id", "left_anti")
-        seen = seen.unionByName(front)
-    return seen
+    any_type = F.lit(0).alias("t")
+    return graph.spread(edges.select(any_type, "src", "dst"), seeds.select(any_type, "slot_id"), hops).select("slot_id")
 
 
 def recall_with_hops(memories: DataFrame, edges: DataFrame, query: list[float], k: int, hops: int, condition: Column | None = None) -> DataFrame:
@@ -69,10 +64,11 @@ def recall_with_hops(memories: DataFrame, edges: DataFrame, query: list[float],
 class CellIndex:
     """Cells by k-means on a bounded sample; every memory has a cell, a query looks into the nearest few.
 
-    Written partitioned by cell, the probe prunes files.
+    Written partitioned by cell, the probe prunes files. Vectors without clusters need many probes: on the
+    test embeddings 12 of 16 cells (three quarters of the rows) hold 0.95 of the ten nearest, 6 hold 0.7.
     """
 
-    def __init__(self, cells: int = 16, probes: int = 6):
+    def __init__(self, cells: int = 16, probes: int = 12):
         self.quantizer, self.probes = vector.ProductQuantizer(subspaces=1, cells=cells), probes
 
     def fit(self, memories: DataFrame) -> CellIndex:

@@ -1,2 +1,2 @@
 """Query catalog."""
-from . import catalog, fusion  # noqa: F401
+from . import catalog, fusion, workflow  # noqa: F401

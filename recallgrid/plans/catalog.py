@@ -351,12 +351,6 @@ def g17_weights(spark, d):
     return M.edges(spark, d).select("src", "dst", w.alias("weight"))
 
 
-@query("select distinct s.s_name as caller, n.n_name as callee from supplier s join nation n on s.s_nationkey = n.n_nationkey where n.n_name ilike '%a%1%'")
-def g10_callers(spark, d):
-    n = M.table(spark, d, "nation").where(F.col("n_name").ilike("%a%1%"))
-    return M.table(spark, d, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("caller"), F.col("n_name").alias("callee")).distinct()
-
-
 @query(f"""with {_MEM}, r as (select label, slot_id, row_number() over (partition by label order by slot_id) as rn from mem) select label, slot_id from r where rn <= 8""")
 def g14_slice(spark, d):
     rn = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
@@ -570,14 +564,6 @@ def x5_context_pack(spark, d):
     return structured.context_pack(e, 100).select("pack_id", "item_id")
 
 
-@query("""with last as (select user_id, max_by(event_type, event_id) as status, max(ts) as seen_at from events group by user_id)
-select c_custkey, case when status is null then 'no receipt' when status = 'error' then 'status' when seen_at < timestamp '2024-01-20 00:00:00' then 'expired' end as reason from customer left join last on c_custkey = user_id""")
-def x13_readiness(spark, d):
-    last = M.table(spark, d, "events").groupBy(F.col("user_id").alias("c_custkey")).agg(F.max_by("event_type", "event_id").alias("status"), F.max("ts").alias("at"))
-    reason = F.when(F.col("status").isNull(), "no receipt").when(F.col("status") == "error", "status").when(F.col("at") < F.lit("2024-01-20 00:00:00").cast("timestamp"), "expired")
-    return M.table(spark, d, "customer").select("c_custkey").join(last, "c_custkey", "left").select("c_custkey", reason.alias("reason"))
-
-
 @query("select count(distinct user_id) as tasks, count(distinct user_id) filter (event_type = 'error') as failed, date_diff('day', min(ts)::date, max(ts)::date) as days, count(distinct user_id) >= 100 as gate from events")
 def a7_release_report(spark, d):
     days = F.date_diff(F.max("ts").cast("date"), F.min("ts").cast("date"))
