@@ -9,8 +9,8 @@ that a quotation in another language isn't taken for noise. Each language group
 doubling of the text's length, a lower and an upper bound on log-perplexity: the median, less or
 plus a few robust standard deviations of that side. Texts outside of the band are rejected.
 
-Size of the model: types of character n-grams, not of words or texts; beyond ``max_entries`` the
-rarest n-grams of the highest order back off to the next lower one, as in any count cut-off.
+Size of the model: all types of character n-grams, not of words or texts, without a cut-off; 16 bytes
+for each type of the highest order in its language's model and as much in that of all languages.
 
 Edge cases: null and empty texts have no words and fail the base rules; a null language is a group
 of its own, and languages beyond the ``max_langs`` most frequent share one model; equal texts get
@@ -85,7 +85,7 @@ def word_grams(words: list[bytes]):
     return key, starts
 
 
-def fit_kneser_ney(key, count, max_entries: int = 4_000_000) -> list:
+def fit_kneser_ney(key, count) -> list:
     """From the counts of full n-grams: for each order its sorted keys, probabilities, and its contexts' back-off weights."""
     import numpy as np
 
@@ -112,10 +112,6 @@ def fit_kneser_ney(key, count, max_entries: int = 4_000_000) -> list:
         lower = np.full(len(k), 1.0 / (len(tables[0][0]) + 1)) if n == 1 else out[-1][1][np.searchsorted(out[-1][0], k & mask[n - 1])]
         p = (c - off) / total[inv] + left[inv] * lower
         out.append((k, p, ctx, left))
-    k, p, ctx, left = out[-1]
-    if len(k) > max_entries:
-        kept = np.sort(np.argpartition(-tables[-1][1], max_entries)[:max_entries])
-        out[-1] = (k[kept], p[kept], ctx, left)
     return [(k, np.log(p), ctx, np.log(np.maximum(left, 1e-12))) for k, p, ctx, left in out]
 
 
@@ -190,7 +186,7 @@ def count_ngrams(docs: DataFrame, langs: list[str]) -> DataFrame:
     return rows.mapInArrow(_count, "grp string, gram long, n long").groupBy("grp", "gram").agg(F.sum("n").alias("n"))
 
 
-def score(docs: DataFrame, max_langs: int = 16, max_entries: int = 4_000_000, cache_words: int = 200_000) -> DataFrame:
+def score(docs: DataFrame, max_langs: int = 16, cache_words: int = 200_000) -> DataFrame:
     """doc_id, grp, the base statistics, n_predicted and log_ppl (null without words)."""
     import numpy as np
 
@@ -203,9 +199,9 @@ def score(docs: DataFrame, max_langs: int = 16, max_entries: int = 4_000_000, ca
     gram, n = counted.column("gram").to_numpy().view(np.uint64), counted.column("n").to_numpy()
     for g in set(grp):
         own = grp == g
-        model[g] = fit_kneser_ney(gram[own], n[own], max_entries // max(1, len(langs)))
+        model[g] = fit_kneser_ney(gram[own], n[own])
     every, inv = np.unique(gram, return_inverse=True)
-    pooled = fit_kneser_ney(every, np.bincount(inv, n, len(every)), max_entries)
+    pooled = fit_kneser_ney(every, np.bincount(inv, n, len(every)))
     key = f"quality-{id(counted)}-{len(gram)}-{int(n.sum()) if len(n) else 0}"
     held = spark.sparkContext.broadcast((model, pooled))
 
