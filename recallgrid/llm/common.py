@@ -61,6 +61,27 @@ def worker_state(key, make):
     return _state[key]
 
 
+def trimmed(run):
+    """The Arrow function, giving freed memory back after each task: idle workers outlive their stage."""
+
+    def bounded(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim is not None:
+                trim(0)
+
+    return bounded
+
+
 def by_bytes(*columns, limit: int = 2_000_000):
     """Slices of parallel lists of which the last holds texts: about ``limit`` bytes each."""
     start = size = 0

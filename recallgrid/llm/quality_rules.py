@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, by_bytes, materialize, ship, worker_state
+from .common import body, by_bytes, materialize, ship, trimmed, worker_state
 
 ORDER = 4
 _SYMBOLS = b"#*$%&|<>"
@@ -183,7 +183,7 @@ def count_ngrams(docs: DataFrame, langs: list[str]) -> DataFrame:
     """grp, gram, n over all words of all texts."""
     ship(docs.sparkSession)
     rows = docs.select(_group(F.col("lang"), langs).alias("grp"), body().alias("body"))
-    return rows.mapInArrow(_count, "grp string, gram long, n long").groupBy("grp", "gram").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(trimmed(_count), "grp string, gram long, n long").groupBy("grp", "gram").agg(F.sum("n").alias("n"))
 
 
 def score(docs: DataFrame, max_langs: int = 16, cache_words: int = 200_000) -> DataFrame:
@@ -235,7 +235,7 @@ def score(docs: DataFrame, max_langs: int = 16, cache_words: int = 200_000) -> D
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _group(F.col("lang"), langs).alias("grp"), body().alias("body"))
-    return rows.mapInArrow(run, "doc_id long, grp string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_predicted long, log_ppl double")
+    return rows.mapInArrow(trimmed(run), "doc_id long, grp string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_predicted long, log_ppl double")
 
 
 def judge(docs: DataFrame, below: float = 3.5, above: float = 12.0, least_sd: float = 0.004, enough: int = 50) -> DataFrame:

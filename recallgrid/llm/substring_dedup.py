@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import body, materialize, shared_dir, ship
+from .common import body, materialize, shared_dir, ship, trimmed
 
 WINDOW, GRAM = 50, 12
 _ANCHORS = "doc_id long, seq_a long, seq_b long, n_words long, anchors array<struct<hash:long,pos:int,lo:int,hi:int>>"
@@ -149,7 +149,7 @@ class WindowIndex:
         ``store`` holds the texts of this and all earlier batches, for verification.
         """
         w = self.window
-        fp = materialize(batch.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("body")).mapInArrow(_fingerprint(w, self.gram), _ANCHORS), "fp")
+        fp = materialize(batch.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("body")).mapInArrow(trimmed(_fingerprint(w, self.gram)), _ANCHORS), "fp")
         long_enough = fp.where(F.col("n_words") >= w)
         seq_schema, run_schema = "seq_a long, seq_b long, first long", "hash long, doc_id long, pos int, lo int, hi int"
         now = long_enough.groupBy("seq_a", "seq_b").agg(F.min("doc_id").alias("first"))
@@ -170,7 +170,7 @@ class WindowIndex:
         shared = materialize(shared, "shared")  # apart from the join, whose hot hashes Spark can then split
         spans = every.join(shared, "hash").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
         texts = store.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("body")).join(spans, "doc_id")
-        windows = materialize(texts.select("doc_id", "body", "spans").mapInArrow(_windows(w), "doc_id long, start int, wa long, wb long"), "windows")
+        windows = materialize(texts.select("doc_id", "body", "spans").mapInArrow(trimmed(_windows(w)), "doc_id long, start int, wa long, wb long"), "windows")
         firsts = windows.groupBy("wa", "wb").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
         firsts = materialize(firsts, "firsts")  # apart from the join, whose hot digests Spark can then split
         cut = windows.join(firsts, ["wa", "wb"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
@@ -248,4 +248,4 @@ def dedup_substrings(docs: DataFrame, splits: tuple[float, ...] = (), window: in
     schema = T.StructType().add("doc_id", "long").add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
     if keep_text:
         schema = schema.add("kept_text", "string").add(rows.schema["carry"])
-    return rows.mapInArrow(_apply(window, keep_text), schema)
+    return rows.mapInArrow(trimmed(_apply(window, keep_text)), schema)
