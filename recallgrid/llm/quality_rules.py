@@ -7,7 +7,9 @@ the interpolated probabilities lie in arrays sorted by the n-gram's 64-bit key (
 words, each scored by an even mixture of its language's model and the model of all languages, so
 that a quotation in another language isn't taken for noise. Each language group has, for each
 doubling of the text's length, a lower and an upper bound on log-perplexity: the median, less or
-plus a few robust standard deviations of that side. Texts outside of the band are rejected.
+plus a few robust standard deviations of that side. Texts outside of the band are rejected. A length
+with few texts takes its band from the nearest lengths of its language, and a language with few
+texts from a blend of its own texts and all languages' nearest lengths, so every text is judged.
 
 Size of the model: all types of character n-grams, not of words or texts, without a cut-off; 16 bytes
 for each type of the highest order in its language's model and as much in that of all languages.
@@ -18,6 +20,8 @@ equal verdicts; an empty table gives an empty result; extra columns are ignored.
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -238,16 +242,78 @@ def score(docs: DataFrame, max_langs: int = 16, cache_words: int = 200_000) -> D
     return rows.mapInArrow(trimmed(run), "doc_id long, grp string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_predicted long, log_ppl double")
 
 
+def _pools(cells: dict, enough: int) -> tuple[dict, list]:
+    """Which cells (language group, length class) stand in for which; cells: their counts of texts.
+
+    The pools (cells -> number), and for each cell its own pool, the pool of all languages and the weight of its own.
+    A class with ``enough`` texts stands for itself, a thinner one for the nearest lengths of its language that
+    together have as many. A language without as many is weighed against the nearest lengths of all.
+    """
+    by_lang: dict = {}
+    every: dict = {}
+    for (g, s), n in cells.items():
+        by_lang.setdefault(g, {})[s] = n
+        every[s] = every.get(s, 0) + n
+    pools: dict = {}
+
+    def near(have, s):
+        for d in range(max(abs(s - x) for x in have) + 1):
+            inside = [x for x in have if abs(s - x) <= d]
+            if sum(have[x] for x in inside) >= enough:
+                break
+        return inside
+
+    def number(pool):
+        return pools.setdefault(frozenset(pool), len(pools))
+
+    shared = {s: number(c for c in cells if c[1] in set(near(every, s))) for s in every} if any(sum(h.values()) < enough for h in by_lang.values()) else {}
+    out = []
+    for g, have in by_lang.items():
+        n = sum(have.values())
+        for s in have:
+            if n >= enough:
+                out.append((g, s, number((g, x) for x in near(have, s)), None, 1.0))
+            else:
+                out.append((g, s, number((g, x) for x in have), shared[s], n / (n + 5)))
+    return pools, out
+
+
+def _bands(rows: DataFrame, below: float, above: float, least_sd: float, enough: int) -> DataFrame:
+    """grp, size_class, lower_ppl, upper_ppl for every language group and doubling of length: a few hundred rows."""
+    spark = rows.sparkSession
+    found = rows.where("size_class is not null").groupBy("grp", "size_class").agg(F.count(F.when(~F.col("base_failed"), 1)).alias("n")).collect()
+    cells = {(r.grp, r.size_class): r.n for r in found}
+    pools, targets = _pools(cells, enough)
+    middle = {p: sum(cells[c] * c[1] for c in pool) / max(sum(cells[c] for c in pool), 1) for pool, p in pools.items()}
+    members = spark.createDataFrame([(g, s, p) for pool, p in pools.items() for g, s in pool], "grp string, size_class long, pool int")
+    sound = rows.where(~F.col("base_failed")).select("grp", "size_class", "log_ppl").join(F.broadcast(members), ["grp", "size_class"])
+    q = {r.pool: r.q for r in sound.groupBy("pool").agg(F.percentile_approx("log_ppl", F.array(*(F.lit(x) for x in (0.25, 0.5, 0.75))), 10_000).alias("q")).collect()}
+
+    def shape(pool, s):
+        """Median and spread to each side, for a length below the pool's as wide as means of fewer symbols are."""
+        a, b, c = q[pool]
+        wider = 2 ** (max(middle[pool] - s, 0) / 2)
+        return b, (b - a) * wider, (c - b) * wider
+
+    out = []
+    for g, s, pool, back, w in targets:
+        have = [p for p in (pool, back) if p in q]
+        if not have:
+            continue
+        own, other = shape(have[0], s), shape(have[-1], s)
+        at, low, high = (w * x + (1 - w) * y for x, y in zip(own, other))
+        # A thin language of lower perplexity than all of them isn't suspect for that.
+        out.append((g, s, math.exp(min(at, own[0]) - below * (low / 0.674 + least_sd)), math.exp(at + above * (high / 0.674 + least_sd))))
+    return spark.createDataFrame(out, "grp string, size_class long, lower_ppl double, upper_ppl double")
+
+
 def judge(docs: DataFrame, below: float = 3.5, above: float = 12.0, least_sd: float = 0.004, enough: int = 50) -> DataFrame:
     """The statistics of every document with base_failed, its perplexity, the band, and kept.
 
-    A length class with fewer than ``enough`` texts rejects none.
+    A length class with fewer than ``enough`` texts is judged by its neighbours' band too.
     """
     rows = materialize(score(docs), "quality").withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).withColumn("size_class", F.floor(F.log2("n_predicted")))
-    # One row for each language group and doubling of length: a few hundred.
-    q = rows.where(~F.col("base_failed")).groupBy("grp", "size_class").agg(F.percentile_approx("log_ppl", F.array(*(F.lit(x) for x in (0.25, 0.5, 0.75))), 10_000).alias("q"), F.count("*").alias("n")).where(F.col("n") >= enough)
-    sd = lambda a, b: (F.col("q")[b] - F.col("q")[a]) / 0.674 + least_sd
-    bands = q.select("grp", "size_class", F.exp(F.col("q")[1] - below * sd(0, 1)).alias("lower_ppl"), F.exp(F.col("q")[1] + above * sd(1, 2)).alias("upper_ppl"))
+    bands = _bands(rows, below, above, least_sd, enough)
     out = rows.join(F.broadcast(bands), ["grp", "size_class"], "left").withColumn("perplexity", F.exp("log_ppl"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("perplexity").between(F.col("lower_ppl"), F.col("upper_ppl")), F.lit(True))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "perplexity", "lower_ppl", "upper_ppl")

@@ -127,6 +127,18 @@ def test_band_rejects_noise_and_keeps_prose(spark, docs):
     assert sum(r.kept for r in sound) >= 0.98 * len(sound)
 
 
+def test_band_judges_every_length_and_small_tables(spark, docs):
+    rng = np.random.default_rng(0)
+    noise = lambda n: " ".join("".join(chr(0x4E00 + rng.integers(3000)) for _ in range(6)) for _ in range(n))
+    rare = [(10**6 + n, noise(n), "en" if n != 40 else "xx", "s", 1) for n in (12, 40, 300, 9000)]
+    few = docs.where("doc_id < 30 and lang = 'en'")
+    for df, ids in ((docs, [r[0] for r in rare]), (few, [10**6 + 300])):
+        got = {r.doc_id: r for r in quality_rules.judge(df.unionByName(spark.createDataFrame(rare, docs.schema).where(F.col("doc_id").isin(ids)))).collect()}
+        assert all(r.upper_ppl for r in got.values() if not r.base_failed)
+        assert not any(got[i].kept or got[i].base_failed for i in ids)
+        assert sum(r.kept for i, r in got.items() if i < 10**6 and not r.base_failed) >= 0.9 * sum(not r.base_failed for i, r in got.items() if i < 10**6)
+
+
 def test_bpe_equals_the_library(docs, odd, none):
     from tokenizers import Tokenizer
 
