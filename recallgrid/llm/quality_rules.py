@@ -5,7 +5,8 @@ word boundaries, one for each language group. Spark counts the n-grams of all wo
 the interpolated probabilities lie in arrays sorted by the n-gram's 64-bit key (four code points of
 16 bits), one array for each order, looked up by binary search. A text's perplexity is that of its
 words, each scored by an even mixture of its language's model and the model of all languages, so
-that a quotation in another language isn't taken for noise. Each language group has, for each
+that a quotation in another language isn't taken for noise; the fewer symbols a language has, the
+less its own model weighs. Every language has a model. Each language group has, for each
 doubling of the text's length, a lower and an upper bound on log-perplexity: the median, less or
 plus a few robust standard deviations of that side. Texts outside of the band are rejected. A length
 with few texts takes its band from the nearest lengths of its language, and a language with few
@@ -15,8 +16,7 @@ Size of the model: all types of character n-grams, not of words or texts, withou
 for each type of the highest order in its language's model and as much in that of all languages.
 
 Edge cases: null and empty texts have no words and fail the base rules; a null language is a group
-of its own, and languages beyond the ``max_langs`` most frequent share one model; equal texts get
-equal verdicts; an empty table gives an empty result; extra columns are ignored.
+of its own; equal texts of a language get equal verdicts; an empty table gives an empty result; extra columns are ignored.
 """
 from __future__ import annotations
 
@@ -143,9 +143,8 @@ def score_grams(model: list, key):
     return lp[inv]
 
 
-def _group(lang, langs: list[str]):
-    lang = F.coalesce(lang, F.lit("?"))
-    return F.when(lang.isin(langs), lang).otherwise(F.lit("*")) if langs else F.lit("*")
+def _group():
+    return F.coalesce(F.col("lang"), F.lit("?"))
 
 
 def _count(batches):
@@ -183,27 +182,29 @@ def _count(batches):
             yield pa.RecordBatch.from_arrays([pa.array([g] * len(k[i : i + 100_000]), pa.string()), pa.array(k[i : i + 100_000].view(np.int64)), pa.array(n[i : i + 100_000])], names=["grp", "gram", "n"])
 
 
-def count_ngrams(docs: DataFrame, langs: list[str]) -> DataFrame:
+def count_ngrams(docs: DataFrame) -> DataFrame:
     """grp, gram, n over all words of all texts."""
     ship(docs.sparkSession)
-    rows = docs.select(_group(F.col("lang"), langs).alias("grp"), body().alias("body"))
+    rows = docs.select(_group().alias("grp"), body().alias("body"))
     return rows.mapInArrow(trimmed(_count), "grp string, gram long, n long").groupBy("grp", "gram").agg(F.sum("n").alias("n"))
 
 
-def score(docs: DataFrame, max_langs: int = 16, cache_words: int = 200_000) -> DataFrame:
-    """doc_id, grp, the base statistics, n_predicted and log_ppl (null without words)."""
+def score(docs: DataFrame, cache_words: int = 200_000, thin: int = 10_000) -> DataFrame:
+    """doc_id, grp, the base statistics, n_predicted and log_ppl (null without words).
+
+    ``thin``: a language of as many symbols has half the weight that a large one's model has.
+    """
     import numpy as np
 
     spark = docs.sparkSession
     ship(spark)
-    langs = sorted(r[0] for r in docs.groupBy(F.coalesce("lang", F.lit("?")).alias("l")).count().orderBy(F.desc("count"), "l").limit(max_langs).collect())
-    counted = count_ngrams(docs, langs).toArrow()  # types of character n-grams
+    counted = count_ngrams(docs).toArrow()  # types of character n-grams
     model = {}
-    grp = np.array(counted.column("grp").to_pylist(), dtype=object)
+    names, grp = np.unique(np.array(counted.column("grp").to_pylist(), dtype=object), return_inverse=True)
     gram, n = counted.column("gram").to_numpy().view(np.uint64), counted.column("n").to_numpy()
-    for g in set(grp):
-        own = grp == g
-        model[g] = fit_kneser_ney(gram[own], n[own])
+    by_grp = np.split(np.argsort(grp, kind="stable"), np.cumsum(np.bincount(grp, minlength=len(names)))[:-1]) if len(names) else []
+    for g, own in zip(names, by_grp):
+        model[g] = fit_kneser_ney(gram[own], n[own]), 0.5 * float(n[own].sum()) / (float(n[own].sum()) + thin)
     every, inv = np.unique(gram, return_inverse=True)
     pooled = fit_kneser_ney(every, np.bincount(inv, n, len(every)))
     key = f"quality-{id(counted)}-{len(gram)}-{int(n.sum()) if len(n) else 0}"
@@ -229,8 +230,9 @@ def score(docs: DataFrame, max_langs: int = 16, cache_words: int = 200_000) -> D
                     for i in range(0, len(ws), 20_000):
                         part = ws[i : i + 20_000]
                         k, starts = word_grams(part)
-                        own, other = (np.add.reduceat(score_grams(m, k), starts) for m in (own_models[g], pooled))
-                        cache[g].update(zip(part, (np.logaddexp(own, other) - np.log(2.0)).tolist()))
+                        own_model, share = own_models[g]
+                        own, other = (np.add.reduceat(score_grams(m, k), starts) for m in (own_model, pooled))
+                        cache[g].update(zip(part, np.logaddexp(own + np.log(share), other + np.log1p(-share)).tolist()))
                 lp = [sum(map(cache[g].__getitem__, r[0])) if r[0] else None for g, r in zip(groups, rows)]
                 size = [r[1] + len(r[0]) for r in rows]
                 yield pa.RecordBatch.from_arrays(
@@ -238,7 +240,7 @@ def score(docs: DataFrame, max_langs: int = 16, cache_words: int = 200_000) -> D
                     names=["doc_id", "grp", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_predicted", "log_ppl"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _group(F.col("lang"), langs).alias("grp"), body().alias("body"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _group().alias("grp"), body().alias("body"))
     return rows.mapInArrow(trimmed(run), "doc_id long, grp string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_predicted long, log_ppl double")
 
 

@@ -139,6 +139,25 @@ def test_band_judges_every_length_and_small_tables(spark, docs):
         assert sum(r.kept for i, r in got.items() if i < 10**6 and not r.base_failed) >= 0.9 * sum(not r.base_failed for i, r in got.items() if i < 10**6)
 
 
+def test_every_language_has_a_model_and_band(spark):
+    """Twenty languages of their own letters and spread; the rarest had shared a group."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(20):
+        words = ["".join(chr(0x100 + 40 * k + c) for c in rng.integers(0, 6 + k, int(rng.integers(2, 8)))) for _ in range(60)]
+        rows += [(1000 * k + i, " ".join(rng.choice(words, 120)), f"l{k:02}") for i in range(100 - 2 * k)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.grp for r in quality_rules.score(df).select("grp").distinct().collect()} == {f"l{k:02}" for k in range(20)}
+    got = [r for r in quality_rules.judge(df).join(df, "doc_id").collect() if not r.base_failed]
+    bands = {}
+    for r in got:
+        bands.setdefault(r.lang, set()).add((r.lower_ppl, r.upper_ppl))
+    assert not bands["l18"] & bands["l19"]
+    for k in range(20):
+        own = [r.kept for r in got if r.lang == f"l{k:02}"]
+        assert sum(own) >= 0.95 * len(own)
+
+
 def test_bpe_equals_the_library(docs, odd, none):
     from tokenizers import Tokenizer
 
