@@ -158,8 +158,8 @@ class WindowIndex:
         self.seqs.append(self._write(first, "seq", ["seq_a"]))
         first = self._read(self.seqs[-1:], seq_schema)
         slim = long_enough.select("doc_id", "seq_a", "seq_b").join(first, ["seq_a", "seq_b"])
-        copies = slim.where("doc_id > first").select("doc_id", F.lit(None).cast("array<int>").alias("starts"))
-        # Each word sequence enters once, by its smallest document.
+        copies = slim.where("doc_id > first").select("doc_id").distinct().select("doc_id", F.lit(None).cast("array<int>").alias("starts"))
+        # Each word sequence enters by its smallest document, once for each equal row of that; sets drop the repeats.
         fresh = long_enough.join(first.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.explode("anchors").alias("a")).select("a.hash", "doc_id", "a.pos", "a.lo", "a.hi")
         new = self._write(fresh, "run", ["hash"])
         run = self._read([new], run_schema)
@@ -168,12 +168,12 @@ class WindowIndex:
         if self.runs:
             shared = shared.join(run.select("hash").distinct(), "hash", "left_semi")
         shared = materialize(shared, "shared")  # apart from the join, whose hot hashes Spark can then split
-        spans = every.join(shared, "hash").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+        spans = every.join(shared, "hash").groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
         texts = store.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("body")).join(spans, "doc_id")
         windows = materialize(texts.select("doc_id", "body", "spans").mapInArrow(trimmed(_windows(w)), "doc_id long, start int, wa long, wb long"), "windows")
         firsts = windows.groupBy("wa", "wb").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
         firsts = materialize(firsts, "firsts")  # apart from the join, whose hot digests Spark can then split
-        cut = windows.join(firsts, ["wa", "wb"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
+        cut = windows.join(firsts, ["wa", "wb"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
         if self.runs:
             cut = cut.join(fp.select("doc_id"), "doc_id", "left_semi")
         self.runs.append(new)
@@ -207,7 +207,7 @@ def _apply(window: int, keep_text: bool):
                 elif starts:
                     edge = np.zeros(len(words) + 1, np.int64)
                     at = np.array(starts)
-                    edge[at] += 1
+                    np.add.at(edge, at, 1)
                     np.subtract.at(edge, at + window, 1)
                     kept = [w for w, c in zip(words, np.cumsum(edge[:-1]).tolist()) if not c]
                 n.append(len(words))

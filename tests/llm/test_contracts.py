@@ -58,6 +58,19 @@ def test_substring(docs, pairs, odd, none):
     assert substring_dedup.dedup_substrings(none, splits=(0.5,)).count() == 0
 
 
+def test_substring_of_repeated_rows(spark):
+    """Equal rows of one doc_id: none is multiplied, and each loses what its text repeats, no more."""
+    long = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    part = f"{long('x', 70)} {PASSAGE} {long('y', 70)}"
+    rows = [(1, f"{PASSAGE} {long('z', 40)}"), (2, part), (2, part), (3, part), (3, part), (3, part), (4, long("u", 80)), (4, long("u", 80))]
+    want = brute.substring(rows)
+    assert want[2][1] == 60 and want[3][1] == 200 and want[4][1] == 0
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for splits in ((), (0.2,), (0.5,)):
+        got = substring_dedup.dedup_substrings(df, splits=splits).collect()
+        assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted((d, *want[d]) for d, _ in rows)
+
+
 def test_window_index_compacts(spark, odd):
     index = substring_dedup.WindowIndex(spark, max_runs=2)
     for lo in (0, 4, 8, 12):
