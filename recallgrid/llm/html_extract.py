@@ -7,8 +7,8 @@ recursively). Seed nodes whose text is the same in nearly all aligned pages are
 are slots. A page is aligned again with its host's wrapper, the template's texts are dropped, and
 the slots yield the text, without those whose own markup names them as menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles or reader comments: their texts can differ from page to page
-like content. The article or main element bounds the content where there is one; else the slots
-made mostly of links are dropped. A host's pages meet in no single task: alignment counts are summed
+like content. Slots made mostly of links are dropped unless an article or main element holds them;
+these elements are a hint only, as stories also lie beside them. A host's pages meet in no single task: alignment counts are summed
 in each task and by (host, node).
 
 Edge cases: null and empty html gives an empty text; pages without a host form a host of their own;
@@ -178,22 +178,8 @@ def _away(node: Node, inside: bool) -> bool:
     return bool(node.names) and node.tag not in ("html", "body", "article", "main") and not NAMED.isdisjoint(node.names)
 
 
-def _mains(node: Node) -> list[Node]:
-    """The outermost article and main elements (main before article), outside of what isn't content."""
-    found: dict = {"main": [], "article": []}
-
-    def walk(x, under):
-        for k in x.kids:
-            if isinstance(k, str):
-                continue
-            tag = "main" if "main" in k.names and k.tag in ("div", "section") or k.tag == "main" else k.tag
-            if tag in found and tag not in under:
-                found[tag].append(k)
-            if not _away(k, bool(under)):
-                walk(k, under | {tag})
-
-    walk(node, frozenset())
-    return found["article"] or found["main"]
+def _holds_content(node: Node) -> bool:
+    return node.tag in ("article", "main") or node.tag in ("div", "section") and "main" in node.names
 
 
 def main_text(html: str, wrapper: tuple[list, set] | None = None) -> str:
@@ -208,7 +194,6 @@ def main_text(html: str, wrapper: tuple[list, set] | None = None) -> str:
         for i, j, same in match(wrapper[0], tree):
             if i in wrapper[1] and same:
                 template.update(map(id, held[j]))
-    mains = _mains(root)
     blocks: list[str] = []
     now: list[str] = []
 
@@ -244,18 +229,17 @@ def main_text(html: str, wrapper: tuple[list, set] | None = None) -> str:
                     end()
             elif k.tag in BLOCK:
                 end()
-                if not inside and k.tag in ("ul", "ol", "div", "p", "table", "section"):
+                if not inside and not _holds_content(k) and k.tag in ("ul", "ol", "div", "p", "table", "section"):
                     linked, whole = links(k)
                     if whole and linked > 0.6 * whole:
                         continue
-                walk(k, inside)
+                walk(k, inside or _holds_content(k))
                 end()
             else:
                 walk(k, inside)
 
-    for x in mains or [root]:
-        walk(x, bool(mains))
-        end()
+    walk(root, False)
+    end()
     return "\n".join(blocks)
 
 

@@ -268,6 +268,14 @@ def test_html(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_story_beside_an_article_stays():
+    page = "<body><nav>menu</nav>{}<footer>end</footer></body>"
+    got = lambda x: html_extract.main_text(page.format(x))
+    assert got("<main><p>story</p><article>card</article></main>") == "story\ncard"
+    assert got("<div><p>story</p></div><article>card</article><article>more</article>") == "story\ncard\nmore"
+    assert got("<main><header>title</header><p>story</p><ul><li><a>source</a></ul></main><ul><li><a>elsewhere</a></ul>") == "title\nstory\nsource"
+
+
 def test_wrapper_drops_a_template_without_telling_markup(spark):
     page = "<html><body><div class=x><p>Welcome to our shop, all rights kept</p></div><div class=y><p>{}</p></div><section><p>Call us any time at the desk</p></section></body></html>"
     rows = [(i, f"http://one.example/{i}", page.format(f"story {i} tells its own tale")) for i in range(12)]
