@@ -60,7 +60,7 @@ def recall_batch(memories: DataFrame, queries: DataFrame, k: int, block: int = 2
 class ProductQuantizer:
     """Codebooks by k-means on a bounded sample; codes, distances and drift on all rows."""
 
-    def __init__(self, subspaces: int = 8, cells: int = 16, seed: int = 7, max_rows: int = 20_000, rounds: int = 25):
+    def __init__(self, subspaces: int = 32, cells: int = 32, seed: int = 7, max_rows: int = 20_000, rounds: int = 25):
         self.subspaces, self.cells, self.seed, self.max_rows, self.rounds, self.book = subspaces, cells, seed, max_rows, rounds, None
 
     def train(self, memories: DataFrame) -> ProductQuantizer:
@@ -149,6 +149,39 @@ class ProductQuantizer:
         near = codes.join(memories.where(current()).select("slot_id"), "slot_id", "left_semi").select("slot_id", adc.alias("d")).orderBy("d", "slot_id").limit(max(8 * k, 128))
         return recall(memories.join(F.broadcast(near.select("slot_id")), "slot_id", "left_semi"), query, k)
 
+    def recall_batch(self, memories: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+        """query_id, slot_id, score, rank: recall() for each query (query_id, vector); the queries are collected."""
+        import numpy as np
+
+        book = np.array(self._need())
+        asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+        own = asked.orderBy("query_id").collect()
+        table = [((np.array(r.vector, float).reshape(len(book), 1, -1) - book) ** 2).sum(2) for r in own]
+        cap = max(8 * k, 128)
+        held = memories.sparkSession.sparkContext.broadcast(([r.query_id for r in own], table))
+
+        def best(batches):
+            import pyarrow as pa
+
+            ids, table = held.value
+            for b in batches:
+                n = b.num_rows
+                if not n:
+                    continue
+                slots, code = b.column("slot_id").to_numpy(), b.column("code").flatten().to_numpy().reshape(n, -1)
+                for q, t in zip(ids, table):
+                    d = t[np.arange(len(t)), code].sum(1)
+                    keep = np.lexsort((slots, d))[:cap]
+                    yield pa.RecordBatch.from_arrays([pa.array([q] * len(keep), pa.int64()), pa.array(slots[keep]), pa.array(d[keep])], names=["query_id", "slot_id", "d"])
+
+        now = memories.where(current())
+        found = self.encode_rows(now).mapInArrow(best, "query_id long, slot_id long, d double")
+        rank = lambda *by: F.row_number().over(Window.partitionBy("query_id").orderBy(*by))
+        near = found.withColumn("at", rank("d", "slot_id")).where(F.col("at") <= cap).select("query_id", "slot_id")
+        pairs = near.join(F.broadcast(asked.withColumnRenamed("vector", "asked")), "query_id").join(now.select("slot_id", "vector"), "slot_id")
+        scored = pairs.select("query_id", "slot_id", V.cosine(V.doubles(F.col("vector")), F.col("asked")).alias("score"))
+        return scored.withColumn("rank", rank(F.desc("score"), "slot_id")).where(F.col("rank") <= k)
+
     def drifted(self, memories: DataFrame, least: float = 0.85) -> DataFrame:
         return self.encode_rows(memories).agg(F.coalesce(F.avg("aligned"), F.lit(1.0)).alias("alignment")).withColumn("drifted", F.col("alignment") < least)
 

@@ -229,7 +229,8 @@ def v16_norms(spark, d):
 @query()
 def v9_recall_pq(spark, d):
     m = M.memories(spark, d)
-    return _scored(vector.ProductQuantizer().train(m).recall(m, _query_vector(spark, d), 10))
+    asked = M.table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return vector.ProductQuantizer().train(m).recall_batch(m, asked, 10).select("query_id", "slot_id", F.round("score", 5).alias("score"), "rank")
 
 
 @query()

@@ -98,8 +98,9 @@ def h5_rrf_from_zero(spark, d):
 def h10_quantised_text(spark, d):
     """The quantised path skips fusion; an untrained quantizer raises."""
     m = M.memories(spark, d)
-    got = vector.ProductQuantizer().train(m).recall(m, _query_vector(spark, d), 10)
-    return F.broadcast(got).join(m.select("slot_id", "text"), "slot_id").select("slot_id", "text", F.round("score", 5).alias("score"))
+    asked = M.table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    got = vector.ProductQuantizer().train(m).recall_batch(m, asked, 10)
+    return got.join(m.select("slot_id", "text"), "slot_id").select("query_id", "slot_id", "text", F.round("score", 5).alias("score"))
 
 
 @query()

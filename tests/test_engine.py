@@ -47,6 +47,20 @@ def test_batch_recall_matches_single(spark):
         vector.ProductQuantizer().recall(m, q, 3)
 
 
+def test_quantised_recall_of_all_registered_queries(spark):
+    from recallgrid.plans import catalog, fusion
+    from recallgrid.sources import memory
+
+    sf = "/root/testdata/sf0.1"
+    asked = memory.table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    want = {(r.query_id, r.slot_id) for r in vector.recall_batch(memory.memories(spark, sf), asked, 10).collect()}
+    assert len(want) == 10 * asked.count()
+    for query in (catalog.v9_recall_pq, fusion.h10_quantised_text):
+        got = {(r.query_id, r.slot_id) for r in query(spark, sf).collect()}
+        print("recall@10", len(got & want) / len(want), "of", asked.count())
+        assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+
+
 def test_bm25(spark):
     docs = spark.createDataFrame([(1, "revenue grew"), (2, "warranty terms and warranty claims"), (3, "maintenance plan"), (4, "")], "id long, text string")
     assert [r.id for r in lexical.bm25(docs, "warranty WARRANTY", 5).collect()] == [2]
