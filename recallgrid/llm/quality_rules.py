@@ -1,10 +1,12 @@
 """Quality rules: text statistics and an n-gram perplexity band.
 
-The language model is a modified Kneser-Ney model of order four over the characters of words, with
-word boundaries, one for each language group. Spark counts the n-grams of all words of all texts;
-the interpolated probabilities lie in arrays sorted by the n-gram's 64-bit key (four code points of
-16 bits), one array for each order, looked up by binary search. A text's perplexity is that of its
-words, each scored by an even mixture of its language's model and the model of all languages, so
+The language model is a modified Kneser-Ney model of order four over a text's characters, its words in
+their order with one boundary between them, one for each language group. Spark counts the n-grams of all
+texts, those across boundaries too; the interpolated probabilities lie in arrays sorted by the n-gram's
+64-bit key (four UTF-16 code units, so that characters beyond 16 bits are two symbols), one array for each
+order, looked up by binary search; an n-gram that occurs once in the corpus is the scored text's own and
+counts as unseen, so that noise isn't likely for having been counted. A text's perplexity is that of its words after one another, each scored by
+an even mixture of its language's model and the model of all languages, so
 that a quotation in another language isn't taken for noise; the fewer symbols a language has, the
 less its own model weighs. Every language has a model. Each language group has, for each
 doubling of the text's length, a lower and an upper bound on log-perplexity: the median, less or
@@ -31,15 +33,15 @@ ORDER = 4
 _SYMBOLS = b"#*$%&|<>"
 
 
-def text_stats(raw: bytes) -> tuple[list[bytes], int, int, int, int]:
-    """The words, and their code points, the symbols, repeated lines and words in repeated 5-word windows."""
+def text_stats(raw: bytes) -> tuple[list[bytes], int, int, int, int, int]:
+    """The words, and their code points, the symbols, repeated lines, words in repeated 5-word windows, and code points beyond 16 bits."""
     import numpy as np
 
     words = raw.split()
     n = len(words)
     a = np.frombuffer(raw, np.uint8)
     if not n:
-        return words, 0, 0, 0, 0
+        return words, 0, 0, 0, 0, 0
     space = (a == 32) | ((a >= 9) & (a <= 13))
     chars = len(a) - int(space.sum()) - int(((a & 0xC0) == 0x80).sum())
     symbols = len(raw) - len(raw.translate(None, _SYMBOLS))
@@ -70,42 +72,95 @@ def text_stats(raw: bytes) -> tuple[list[bytes], int, int, int, int]:
             np.add.at(edge, at, 1)
             np.add.at(edge, at + 5, -1)
             repeated = int((np.cumsum(edge[:n]) > 0).sum())
-    return words, chars, symbols, dup, repeated
+    return words, chars, symbols, dup, repeated, int((a >= 0xF0).sum())
 
 
-def word_grams(words: list[bytes]):
-    """Keys of the four code points that end at each predicted symbol, and where each word's begin."""
+def word_parts(words: list[bytes]):
+    """What each word (without white space, not empty) gives the stream of symbols.
+
+    Keys of its inner n-grams, those that end at its third symbol or later, its closing boundary included;
+    how many each word has; and the two symbols that the next word sees, and the two that the word before sees.
+    """
+    import numpy as np
+
+    a = np.frombuffer(("\n" + b"\n\n".join(words).decode("utf-8", "replace") + "\n").encode("utf-16-le"), np.uint16).astype(np.uint64)
+    edge = np.flatnonzero(a == 10)
+    start, end = edge[0::2], edge[1::2]
+    count = end - start - 2
+    begin = np.cumsum(count) - count
+    at = np.repeat(start - begin, count) + np.arange(int(count.sum()))
+    key = (a[at] << np.uint64(48)) | (a[at + 1] << np.uint64(32)) | (a[at + 2] << np.uint64(16)) | a[at + 3]
+    return key, count, (a[end - 2] << np.uint64(16)) | a[end - 1], (a[start + 1] << np.uint64(16)) | a[start + 2]
+
+
+#: The two symbols before a text's first word's boundary.
+OPENING = (10 << 16) | 10
+
+
+def joint_grams(joint):
+    """The two n-grams across a boundary, from the symbols before it (high half) and after it."""
     import numpy as np
 
-    s = "\n\n\n" + "\n\n\n\n".join(b"\n".join(words).decode("utf-8", "replace").split("\n")) + "\n"
-    a = np.frombuffer(s.encode("utf-32-le"), np.uint32).astype(np.uint64) & np.uint64(0xFFFF)
-    end = a == 10
-    char = ~end
-    wanted = char.copy()
-    wanted[1:] |= end[1:] & char[:-1]
-    at = np.flatnonzero(wanted)
-    key = (a[at - 3] << np.uint64(48)) | (a[at - 2] << np.uint64(32)) | (a[at - 1] << np.uint64(16)) | a[at]
-    starts = np.flatnonzero(end[at - 1])
-    return key, starts
+    before, after = joint >> np.uint64(32), joint & np.uint64(0xFFFFFFFF)
+    gap = np.uint64(10)
+    first = (before << np.uint64(32)) | (gap << np.uint64(16)) | (after >> np.uint64(16))
+    second = ((before & np.uint64(0xFFFF)) << np.uint64(48)) | (gap << np.uint64(32)) | after
+    return first, second
 
 
-def fit_kneser_ney(key, count) -> list:
-    """From the counts of full n-grams: for each order its sorted keys, probabilities, and its contexts' back-off weights."""
+def joints(tail, head, opens):
+    """For each word of a row of texts what stands before and after its opening boundary; opens: places of first words."""
+    import numpy as np
+
+    before = np.empty_like(tail)
+    before[1:] = tail[:-1]
+    before[opens] = OPENING
+    return (before << np.uint64(32)) | head
+
+
+class Words:
+    """The words seen by a task, numbered, with what each gives the stream."""
+
+    def __init__(self):
+        import numpy as np
+
+        self.index, self.tail, self.head = {}, np.empty(0, np.uint64), np.empty(0, np.uint64)
+
+    def number(self, words):
+        """The words' numbers, and the new words with their inner n-grams and counts of these."""
+        import numpy as np
+
+        index = self.index
+        new = [w for w in dict.fromkeys(words) if w not in index]
+        key = count = None
+        if new:
+            index.update(zip(new, range(len(index), len(index) + len(new))))
+            key, count, tail, head = word_parts(new)
+            self.tail, self.head = np.concatenate([self.tail, tail]), np.concatenate([self.head, head])
+        return np.fromiter(map(index.__getitem__, words), np.int64, len(words)), key, count
+
+
+def fit_kneser_ney(key, count) -> tuple[list, float]:
+    """From the counts of full n-grams: for each order its sorted keys, probabilities, and its contexts' back-off weights; and the floor.
+
+    What occurs once in the whole corpus takes part in the estimates but isn't among the keys: the text that
+    is scored is where it occurs, and left out of its own model it hasn't been seen.
+    """
     import numpy as np
 
     mask = [np.uint64((1 << (16 * k)) - 1) for k in range(ORDER + 1)]
-    tables = []  # (keys, counts) by order; below the highest, in how many contexts an n-gram was seen
+    tables = []  # (keys, counts, occurrences) by order; below the highest the counts are of contexts an n-gram was seen in
     k, c = np.asarray(key, np.uint64), np.asarray(count, np.float64)
     o = np.argsort(k)
     k, c = k[o], c[o]
-    tables.append((k, c))
+    tables.append((k, c, c))
     for n in range(ORDER - 1, 0, -1):
-        k, c = np.unique(tables[-1][0] & mask[n], return_counts=True)
-        tables.append((k, c.astype(np.float64)))
+        above, _, raw = tables[-1]
+        k, inv, c = np.unique(above & mask[n], return_inverse=True, return_counts=True)
+        tables.append((k, c.astype(np.float64), np.bincount(inv, raw, len(k))))
     tables.reverse()
     out = []
-    below = None
-    for n, (k, c) in enumerate(tables, 1):
+    for n, (k, c, raw) in enumerate(tables, 1):
         n1, n2, n3, n4 = (max(int((c == i).sum()), 1) for i in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2)
         d = np.clip(np.array([0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]), [0, 0.1, 0.1, 0.1], [0, 0.95, 1.9, 2.85])
@@ -115,19 +170,20 @@ def fit_kneser_ney(key, count) -> list:
         left = np.bincount(inv, off, len(ctx)) / total  # the mass that goes to the lower order
         lower = np.full(len(k), 1.0 / (len(tables[0][0]) + 1)) if n == 1 else out[-1][1][np.searchsorted(out[-1][0], k & mask[n - 1])]
         p = (c - off) / total[inv] + left[inv] * lower
-        out.append((k, p, ctx, left))
-    return [(k, np.log(p), ctx, np.log(np.maximum(left, 1e-12))) for k, p, ctx, left in out]
+        out.append((k, p, ctx, left, raw > 1, np.bincount(inv, raw, len(ctx)) > 1))
+    floor = -math.log(len(tables[0][0]) + 1)  # of symbols that no model has seen
+    return [(k[again], np.log(p[again]), ctx[known], np.log(np.maximum(left[known], 1e-12))) for k, p, ctx, left, again, known in out], floor
 
 
-def score_grams(model: list, key):
+def score_grams(model: tuple[list, float], key):
     """Natural log-probability of each full n-gram's last symbol."""
     import numpy as np
 
     uniq, inv = np.unique(key, return_inverse=True)
     lp, weight, todo = np.zeros(len(uniq)), np.zeros(len(uniq)), np.arange(len(uniq))
-    floor = -np.log(len(model[0][0]) + 1.0) if len(model[0][0]) else -20.0
+    tables, floor = model
     for n in range(ORDER, 0, -1):
-        k, p, ctx, left = model[n - 1]
+        k, p, ctx, left = tables[n - 1]
         x = uniq[todo] & np.uint64((1 << (16 * n)) - 1)
         at = np.minimum(np.searchsorted(k, x), max(len(k) - 1, 0))
         hit = (k[at] == x) if len(k) else np.zeros(len(x), bool)
@@ -147,34 +203,58 @@ def _group():
     return F.coalesce(F.col("lang"), F.lit("?"))
 
 
-def _count(batches):
-    """Each task's n-gram counts by language group, through its words' counts."""
-    from collections import Counter, defaultdict
+def _by_group(groups, texts):
+    """For each group the places of its texts, their words in a row, and how many each has."""
+    from collections import defaultdict
+
+    import numpy as np
+
+    at = defaultdict(list)
+    for i, g in enumerate(groups):
+        at[g].append(i)
+    for g, places in at.items():
+        n = np.array([len(texts[i]) for i in places], np.int64)
+        yield g, np.array(places), [w for i in places for w in texts[i]], n
 
+
+def _count(batches):
+    """Each task's n-gram counts by language group, through its words' and joints' counts."""
     import numpy as np
     import pyarrow as pa
 
-    words = defaultdict(Counter)
+    held: dict = {}  # group -> words, their inner n-grams, counts, joints
     grams: dict = {}
 
+    def add(g, key, n):
+        old = grams.get(g, (np.empty(0, np.uint64), np.empty(0, np.int64)))
+        uniq, inv = np.unique(np.concatenate([old[0], key]), return_inverse=True)
+        grams[g] = uniq, np.bincount(inv, np.concatenate([old[1], n]), len(uniq)).astype(np.int64)
+
     def fold():
-        for g, c in words.items():
-            if not c:
-                continue
-            ws = list(c)
-            key, starts = word_grams(ws)
-            n = np.fromiter(c.values(), np.int64, len(ws))
-            per = np.repeat(n, np.diff(np.append(starts, len(key))))
-            old = grams.get(g, (np.empty(0, np.uint64), np.empty(0, np.int64)))
-            k = np.concatenate([old[0], key])
-            uniq, inv = np.unique(k, return_inverse=True)
-            grams[g] = uniq, np.bincount(inv, np.concatenate([old[1], per]), len(uniq)).astype(np.int64)
-            c.clear()
+        for g, (words, keys, sizes, seen, joint) in held.items():
+            n = np.zeros(len(words.index), np.int64)
+            for x in seen:
+                n[: len(x)] += x
+            j = np.concatenate([x for x, _ in joint])
+            m = np.concatenate([x for _, x in joint])
+            first, second = joint_grams(j)
+            add(g, np.concatenate([*keys, first, second]), np.concatenate([np.repeat(n, np.concatenate(sizes)), m, m]))
+        held.clear()
 
     for b in batches:
-        for g, raw in zip(b.column("grp").to_pylist(), b.column("body").to_pylist()):
-            words[g].update(raw.split())
-            if sum(map(len, words.values())) > 150_000:
+        for groups, bodies in by_bytes(b.column("grp").to_pylist(), b.column("body").to_pylist()):
+            for g, _, words, n in _by_group(groups, [raw.split() for raw in bodies]):
+                if not words:
+                    continue
+                have, keys, sizes, seen, joint = held.setdefault(g, (Words(), [], [], [], []))
+                ids, key, count = have.number(words)
+                if key is not None:
+                    keys.append(key)
+                    sizes.append(count)
+                seen.append(np.bincount(ids))
+                opens = (np.cumsum(n) - n)[n > 0]
+                joint.append(np.unique(joints(have.tail[ids], have.head[ids], opens), return_counts=True))
+            if sum(len(x[0].index) + sum(len(j) for j, _ in x[4]) for x in held.values()) > 600_000:
                 fold()
     fold()
     for g, (k, n) in grams.items():
@@ -189,7 +269,7 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(trimmed(_count), "grp string, gram long, n long").groupBy("grp", "gram").agg(F.sum("n").alias("n"))
 
 
-def score(docs: DataFrame, cache_words: int = 200_000, thin: int = 10_000) -> DataFrame:
+def score(docs: DataFrame, cache_words: int = 400_000, thin: int = 10_000) -> DataFrame:
     """doc_id, grp, the base statistics, n_predicted and log_ppl (null without words).
 
     ``thin``: a language of as many symbols has half the weight that a large one's model has.
@@ -213,28 +293,48 @@ def score(docs: DataFrame, cache_words: int = 200_000, thin: int = 10_000) -> Da
     def run(batches):
         import pyarrow as pa
 
-        cache = worker_state(key, dict)
+        cache = worker_state(key, dict)  # group -> words, log-probabilities of their inner n-grams, sorted joints and theirs
         own_models, pooled = held.value
+
+        def both(g, grams, starts):
+            return [np.add.reduceat(np.append(score_grams(m, grams), 0.0), np.minimum(starts, len(grams))) for m in (own_models[g][0], pooled)]
+
+        def logs(g, words, opens):
+            """Log-probability of each word of a row of texts."""
+            have = cache.setdefault(g, [Words(), np.empty((2, 0)), np.empty(0, np.uint64), np.empty((2, 0))])
+            ids, grams, count = have[0].number(words)
+            if grams is not None:
+                got = np.zeros((2, len(count)))
+                some = count > 0
+                if some.any():
+                    got[:, some] = both(g, grams, (np.cumsum(count) - count)[some])
+                have[1] = np.concatenate([have[1], got], axis=1)
+            uniq, inv = np.unique(joints(have[0].tail[ids], have[0].head[ids], opens), return_inverse=True)
+            at = np.searchsorted(have[2], uniq)
+            new = uniq[(at == len(have[2])) | (have[2][np.minimum(at, max(len(have[2]) - 1, 0))] != uniq) if len(have[2]) else np.ones(len(uniq), bool)]
+            if len(new):
+                got = np.stack([sum(score_grams(m, x) for x in joint_grams(new)) for m in (own_models[g][0], pooled)])
+                every = np.concatenate([have[2], new])
+                order = np.argsort(every, kind="stable")
+                have[2], have[3] = every[order], np.concatenate([have[3], got], axis=1)[:, order]
+            own, other = have[1][:, ids] + have[3][:, np.searchsorted(have[2], uniq)][:, inv]
+            share = own_models[g][1]
+            return np.logaddexp(own + np.log(share), other + np.log1p(-share))
+
         for b in batches:
             for ids, groups, bodies in by_bytes(*(b.column(c).to_pylist() for c in ("doc_id", "grp", "body"))):
-                rows, new = [], {}
-                if sum(map(len, cache.values())) > cache_words:
+                if sum(len(x[0].index) + len(x[2]) for x in cache.values()) > cache_words:
                     cache.clear()
-                for g, raw in zip(groups, bodies):
-                    stats = text_stats(raw)
-                    rows.append(stats)
-                    have = cache.setdefault(g, {})
-                    new.setdefault(g, set()).update(w for w in stats[0] if w not in have)
-                for g, ws in new.items():
-                    ws = list(ws)
-                    for i in range(0, len(ws), 20_000):
-                        part = ws[i : i + 20_000]
-                        k, starts = word_grams(part)
-                        own_model, share = own_models[g]
-                        own, other = (np.add.reduceat(score_grams(m, k), starts) for m in (own_model, pooled))
-                        cache[g].update(zip(part, np.logaddexp(own + np.log(share), other + np.log1p(-share)).tolist()))
-                lp = [sum(map(cache[g].__getitem__, r[0])) if r[0] else None for g, r in zip(groups, rows)]
-                size = [r[1] + len(r[0]) for r in rows]
+                rows = [text_stats(raw) for raw in bodies]
+                lp = [None] * len(rows)
+                for g, places, words, n in _by_group(groups, [r[0] for r in rows]):
+                    if not words:
+                        continue
+                    some = n > 0
+                    total = np.bincount(np.repeat(np.arange(len(n)), n), logs(g, words, (np.cumsum(n) - n)[some]), len(n))
+                    for i, x in zip(places[some].tolist(), total[some].tolist()):
+                        lp[i] = x
+                size = [r[1] + r[5] + len(r[0]) for r in rows]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(groups, pa.string()), *(pa.array(x, pa.int64()) for x in ([len(r[0]) for r in rows], *([r[i] for r in rows] for i in range(1, 5)), size)), pa.array([None if x is None else -x / m for x, m in zip(lp, size)], pa.float64())],
                     names=["doc_id", "grp", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_predicted", "log_ppl"],
