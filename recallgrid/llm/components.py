@@ -1,4 +1,11 @@
-"""Connected components by alternating large and small stars, without gathering edges anywhere."""
+"""Connected components by alternating large and small stars, without gathering edges anywhere.
+
+The least neighbours are written before they are joined with the edges again, so the join doesn't inherit
+the aggregation's partitioning and Spark can split the edges of a hub.
+
+Edge cases: no edges give no rows; repeated edges and edges in both directions count once; extra columns
+are ignored; null nodes aren't allowed.
+"""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
@@ -17,8 +24,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         before = mark
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = materialize(least, "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large, "large")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
         now = materialize(small.distinct(), "edges")
     raise RuntimeError("components did not settle")
