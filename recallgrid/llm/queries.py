@@ -62,8 +62,16 @@ QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_toxicity, op3_shardi
 _SPACED = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
-#: The others need hashes, models or a tokenizer that SQL hasn't; tests/llm has brute-force versions.
+#: The others need models, a tokenizer or a hash that SQL hasn't; tests/llm holds them against plain-Python versions,
+#: the tokenizers library or held-out labels.
 SQL: dict[str, str] = {
+    "op3_sharding": """with tab as (select list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda a, x: case when a & 1 = 1 then xor(3988292384, a >> 1) else a >> 1 end)) as t),
+d as (select doc_id, strlen(coalesce(text, '')) + 8 as size, coalesce(text, '') as text, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::bigint as h from documents),
+c as (select *, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::bigint)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) as crc from d, tab),
+p as (select doc_id, size, crc, h, sum(size) over (order by h, doc_id rows unbounded preceding)::bigint - size as lo, row_number() over (order by h, doc_id) as pos, (select sum(size)::bigint from d) as total from c),
+r as (select *, count(*) over w as n, min(lo) over w as run_lo, sum(size) over w as run_size from p window w as (partition by h)),
+s as (select *, least((case when n > 1 and run_size * 24 * 50 <= total then 2 * run_lo + run_size else 2 * lo + size end) * 24 // (2 * total), 23)::int as shard from r)
+select doc_id, size, crc::bigint as text_crc32, 'bytes' as law, shard, pos - min(pos) over (partition by shard) as slot, null::int as grown_shard from s""",
     "op6_substring_dedup": f"""with t as (select doc_id, {_SPACED} as w from documents),
 win as (select doc_id, i, array_to_string(w[i : i + 49], ' ') as s from t, unnest(range(1, len(w) - 48)) u(i)),
 dup as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by s) as first from win) where first < doc_id),
