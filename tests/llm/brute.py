@@ -1,6 +1,9 @@
 """Plain-Python versions of the operators' contracts, for small inputs."""
 import hashlib
+import itertools
+import math
 import re
+import zlib
 from collections import defaultdict
 
 import xxhash
@@ -99,3 +102,120 @@ def base_rules(text):
         at[tuple(ws[i : i + 5])].append(i)
     rep = {j for v in at.values() if len(v) > 1 for i in v for j in range(i, i + 5)}
     return len(ws), sum(map(len, ws)), sum(t.count(c) for c in "#*$%&|<>"), dup, len(rep), len(ws) < 10 or 100 * len(rep) > 20 * len(ws)
+
+
+def units(text):
+    """The UTF-16 code units of a text's words in order, each word followed by a boundary."""
+    raw = "".join(w + "\n" for w in WORD.findall(text or "")).encode("utf-16-le")
+    return [raw[i] | raw[i + 1] << 8 for i in range(0, len(raw), 2)]
+
+
+class KneserNey:
+    """Interpolated modified Kneser-Ney of order four over rows of symbols, by dictionaries."""
+
+    def __init__(self, rows):
+        tables = [defaultdict(int) for _ in range(4)]
+        for row in rows:
+            row = [10, 10, 10, *row]
+            for i in range(3, len(row)):
+                tables[3][tuple(row[i - 3 : i + 1])] += 1
+        for n in (2, 1, 0):
+            for gram in tables[n + 1]:
+                tables[n][gram[1:]] += 1
+        self.tables, self.discounts, self.totals = tables, [], []
+        self.raw = [defaultdict(int) for _ in range(4)]
+        for gram, c in tables[3].items():
+            for n in range(4):
+                self.raw[n][gram[3 - n :]] += c
+        self.contexts = [defaultdict(int) for _ in range(4)]
+        for n in range(4):
+            for gram, c in self.raw[n].items():
+                self.contexts[n][gram[:-1]] += c
+        for t in tables:
+            n1, n2, n3, n4 = (max(sum(c == i for c in t.values()), 1) for i in (1, 2, 3, 4))
+            y = n1 / (n1 + 2 * n2)
+            self.discounts.append([0, min(max(1 - 2 * y * n2 / n1, 0.1), 0.95), min(max(2 - 3 * y * n3 / n2, 0.1), 1.9), min(max(3 - 4 * y * n4 / n3, 0.1), 2.85)])
+            total = defaultdict(lambda: [0, 0.0])
+            for gram, c in t.items():
+                total[gram[:-1]][0] += c
+                total[gram[:-1]][1] += self.discounts[-1][min(c, 3)]
+            self.totals.append(total)
+
+    def estimate(self, gram):
+        n = len(gram)
+        if not n:
+            return 1 / (len(self.tables[0]) + 1)
+        c, (total, off) = self.tables[n - 1][gram], self.totals[n - 1][gram[:-1]]
+        return (c - self.discounts[n - 1][min(c, 3)]) / total + off / total * self.estimate(gram[1:])
+
+    def p(self, gram):
+        """The estimate, by the longest end of the n-gram that occurs twice or more."""
+        n = len(gram)
+        if not n or self.raw[n - 1].get(gram, 0) > 1:
+            return self.estimate(gram)
+        if self.contexts[n - 1].get(gram[:-1], 0) < 2:
+            return self.p(gram[1:])
+        total, off = self.totals[n - 1][gram[:-1]]
+        return off / total * self.p(gram[1:])
+
+    def words(self, row):
+        """Log-probability of each word with its closing boundary."""
+        row, out = [10, 10, 10, *row], [0.0]
+        for i in range(3, len(row)):
+            out[-1] += math.log(self.p(tuple(row[i - 3 : i + 1])))
+            if row[i] == 10:
+                out.append(0.0)
+        return out[:-1]
+
+
+def perplexities(docs, thin=10_000):
+    """docs: (doc_id, text, lang) -> {doc_id: perplexity, None without words}"""
+    rows = {d: (units(t), lang or "?") for d, t, lang in docs}
+    by = defaultdict(list)
+    for row, g in rows.values():
+        by[g].append(row)
+    models = {g: KneserNey(r) for g, r in by.items()}
+    size = {g: sum(map(len, r)) for g, r in by.items()}
+    # The counts of all languages are the sums of theirs.
+    pooled = KneserNey([r for row in by.values() for r in row])
+    out = {}
+    for d, (row, g) in rows.items():
+        share = 0.5 * size[g] / (size[g] + thin)
+        lp = sum(math.log(share * math.exp(a) + (1 - share) * math.exp(b)) for a, b in zip(models[g].words(row), pooled.words(row)))
+        out[d] = math.exp(-lp / len(row)) if row else None
+    return out
+
+
+def shards(docs, n=24):
+    """docs: (doc_id, text) -> rows (doc_id, size, crc, shard, slot), by the order of (first 60 bits of MD5, doc_id)."""
+    rows = sorted((int(hashlib.md5((t or "").encode()).hexdigest()[:15], 16), d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t in docs)
+    total, at, out, slots = sum(r[2] for r in rows), 0, [], defaultdict(int)
+    for _, group in itertools.groupby(rows, key=lambda r: r[0]):
+        group = list(group)
+        whole = sum(r[2] for r in group)
+        together, lo = len(group) > 1 and whole * n * 50 <= total, at
+        for _, d, size, crc in group:
+            middle = 2 * lo + whole if together else 2 * at + size
+            k = min(middle * n // (2 * max(total, 1)), n - 1)
+            out.append((d, size, crc, k, slots[k]))
+            slots[k] += 1
+            at += size
+    return out
+
+
+def viterbi(model, xs):
+    """States of one transcript by the plain recursion."""
+    first, a, emissions = model
+    score, back = None, []
+    for x in xs:
+        e = [sum(f[s][v] for f, v in zip(emissions, x)) for s in range(len(first))]
+        if score is None:
+            score = [first[s] + e[s] for s in range(len(e))]
+        else:
+            best = [max(range(len(e)), key=lambda r, s=s: score[r] + a[r][s]) for s in range(len(e))]
+            back.append(best)
+            score = [score[best[s]] + a[best[s]][s] + e[s] for s in range(len(e))]
+    path = [max(range(len(score)), key=score.__getitem__)]
+    for b in reversed(back):
+        path.append(b[path[-1]])
+    return path[::-1]

@@ -1,8 +1,10 @@
 """The operators against plain-Python versions, a library, held-out labels and awkward tables."""
 import html
+import json
 import os
 import re
 import sys
+import zlib
 
 import numpy as np
 import pytest
@@ -71,6 +73,22 @@ def test_substring_of_repeated_rows(spark):
         assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted((d, *want[d]) for d, _ in rows)
 
 
+def test_repeated_and_unnumbered_rows(spark, odd):
+    """Rows that share a doc_id, or have none, are each judged by their own text."""
+    rows = [(1, PASSAGE), (1, PASSAGE), (1, "other text of the same document " * 3), (None, f"x {PASSAGE}"), (None, "plain words"), (7, f"y {PASSAGE}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, PASSAGE), (1, PASSAGE)], "item_id long, text string")
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items) for r in decontaminate.decontaminate(df, bench).collect())
+    assert got == sorted([("1", 60, 60, 1), ("1", 60, 60, 1), ("1", 18, 0, 0), ("None", 61, 60, 1), ("None", 2, 0, 0), ("7", 61, 60, 1)])
+    assert sorted(r.fingerprint for r in simhash.near_duplicates(df).collect()) == sorted(f"{brute.simhash(t):016x}" for _, t in rows)
+    assert sorted((str(r.doc_id), r["size"], r.text_crc32) for r in sharding.assign_shards(df, 3).collect()) == sorted((str(d), len(t) + 8, zlib.crc32(t.encode())) for d, t in rows)
+    more = df.withColumn("lang", F.lit("en"))
+    assert sorted(r.n_words for r in quality_rules.judge(more).collect()) == sorted(len(t.split()) for _, t in rows)
+    assert bpe.encode(df, queries.tokenizer_path()).count() == len(rows)
+    labels = spark.createDataFrame([(1, 1), (1, 1), (7, 0)], "doc_id long, y int")
+    assert toxicity.classify(df, labels).count() == quality_classifier.classify(df, labels).count() == len(rows)
+
+
 def test_window_index_compacts(spark, odd):
     index = substring_dedup.WindowIndex(spark, max_runs=2)
     for lo in (0, 4, 8, 12):
@@ -118,10 +136,11 @@ def test_base_rules_and_band(docs, pairs, odd, none):
 
 
 def test_kneser_ney_sums_to_one():
-    words = [b"abab", b"abc", b"abba", b"caab"]
-    key, _ = quality_rules.word_grams(words)
+    text = "abab abc abba caab"
+    row = [10, 10, 10, *brute.units(text)]
+    key = np.array([sum(c << 16 * (3 - k) for k, c in enumerate(row[i - 3 : i + 1])) for i in range(3, len(row))], np.uint64)
     uniq, n = np.unique(key, return_counts=True)
-    model = quality_rules.fit_kneser_ney(uniq, n)
+    model = quality_rules.fit_kneser_ney(uniq, 2 * n)  # so that none counts as unseen
     symbols = np.unique(uniq & np.uint64(0xFFFF))
     for context in np.unique(uniq >> np.uint64(16)):
         p = np.exp(quality_rules.score_grams(model, (context << np.uint64(16)) | symbols))
@@ -129,6 +148,24 @@ def test_kneser_ney_sums_to_one():
         assert 0.9 < p.sum() <= 1 + 1e-9
 
 
+def test_perplexity_and_verdict_against_plain_kneser_ney(spark, odd):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for df in (docs, odd):
+        want = brute.perplexities([(r.doc_id, r.text, r.lang) for r in df.collect()])
+        for r in quality_rules.judge(df).collect():
+            assert r.perplexity is None and want[r.doc_id] is None or abs(r.perplexity / want[r.doc_id] - 1) < 1e-9
+            assert r.base_failed or r.upper_ppl is not None
+            assert r.kept == (not r.base_failed and r.lower_ppl <= r.perplexity <= r.upper_ppl)
+
+
+def test_word_order_counts(spark):
+    rows = [(i, "the cat sat on the mat and the dog ran to the cat " * 8, "en") for i in range(40)]
+    a, b = "cat sat on the mat and the dog ran to the " * 6, "dog dog cat the the the on on to and sat mat ran cat to " * 4
+    df = spark.createDataFrame([*rows, (100, a, "en"), (101, " ".join(sorted(b.split(), key=hash)), "en")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.log_ppl for r in quality_rules.score(df).collect()}
+    assert got[100] < got[101]
+
+
 def test_band_rejects_noise_and_keeps_prose(spark, docs):
     rng = np.random.default_rng(0)
     noise = " ".join("".join(chr(0x4E00 + rng.integers(3000)) for _ in range(6)) for _ in range(200))
@@ -176,7 +213,7 @@ def test_bpe_equals_the_library(docs, odd, none):
 
     path = queries.tokenizer_path()
     lib = Tokenizer.from_file(path)
-    for df in (docs.limit(200), odd):
+    for df in (docs, odd):
         for r in bpe.encode(df, path, keep_ids=True).join(df.select("doc_id", "text"), "doc_id").collect():
             want = lib.encode(r.text or "", add_special_tokens=False).ids
             decoded = lib.decode(want, skip_special_tokens=False)
@@ -199,7 +236,7 @@ def test_segment_tree_on_random_words():
 
 
 @pytest.mark.parametrize("shards", [1, 24])
-def test_shards(docs, odd, none, shards):
+def test_shards(docs, pairs, odd, none, shards):
     for df in (docs, odd):
         rows = sharding.assign_shards(df, shards).collect()
         assert len(rows) == df.count()
@@ -207,6 +244,8 @@ def test_shards(docs, odd, none, shards):
         for r in rows:
             slots.setdefault(r.shard, []).append(r.slot)
         assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(shards))
+    for df, plain in ((docs, pairs), (odd, ODD), (docs.unionByName(docs), pairs * 2)):
+        assert sorted((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in sharding.assign_shards(df, shards).collect()) == sorted(brute.shards(plain, shards))
     rows = sharding.assign_shards(docs, shards).collect()
     sizes = [sum(r["size"] for r in rows if r.shard == s) for s in range(shards)]
     assert max(sizes) - min(sizes) <= 0.04 * np.mean(sizes) + 2 * max(r["size"] for r in rows)
@@ -215,11 +254,46 @@ def test_shards(docs, odd, none, shards):
 
 def test_toxicity(spark, docs, odd, none):
     labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", F.col("toxic").alias("y"))
-    got = toxicity.classify(docs, labels).join(labels, "doc_id").collect()
-    assert len(got) == labels.count() and all(0 <= r.score <= 1 for r in got)
-    flagged = [r for r in got if r.predicted]
-    assert sum(r.y for r in flagged) >= 0.95 * len(flagged) and len(flagged) >= 0.6 * sum(r.y for r in got)
+    rows = toxicity.classify(docs, labels).collect()
+    assert len(rows) == docs.count() and all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+    y = {r.doc_id: r.y for r in labels.collect()}
+    unseen = [(r.score, y[r.doc_id]) for r in rows if r.held_out and r.doc_id in y]
+    good, bad = ([s for s, t in unseen if t == k] for k in (0, 1))
+    assert np.mean([s >= 0.7 for s in bad]) >= 0.6 and sum(s >= 0.7 for s in good) <= 0.02 * len(good)
+    assert np.mean([a > b for a in bad for b in good]) > 0.85
     assert toxicity.classify(odd, labels).count() == len(TEXTS) and toxicity.classify(none, labels).count() == 0
+    assert len({r.score for r in toxicity.classify(docs, labels.limit(0)).collect()}) == 1
+
+
+def test_counterfactual_terms_are_found_and_act(spark):
+    """A neutral word that shares a prefix with abuse, in texts of both labels."""
+    rng = np.random.default_rng(5)
+    filler = [a + b + "re" for a in "bcdfghkl" for b in "aeiou"]
+    rows = []
+    for i in range(240):
+        words = list(rng.choice(filler, 12))
+        toxic = i % 3 == 0
+        if toxic:
+            words[4] = "gorbulous" if i % 2 else "gorbuly"
+        if i % 5 == 0 or toxic and i % 2:
+            words[6] = "gorbuland"
+        rows.append((i, " ".join(words), int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    change = {}
+    for penalty in (0.0, 50.0):
+        report = {}
+        toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "y"), penalty=penalty, report=report)
+        assert report["terms"] > 40 and report["swapped"] > 0 and report["moved"] > 0
+        change[penalty] = report["change"]
+    assert change[50.0] < 0.8 * change[0.0]
+
+
+def test_near_copies_are_verified(spark):
+    base = [f"a{i}" for i in range(60)]
+    rows = [(1, " ".join(base), 0), (2, " ".join(base[1:] + ["z"]), 0), (3, " ".join(base[:3] + [f"b{i}" for i in range(60)]), 0), (4, " ".join(base), 1)]
+    df = spark.createDataFrame([(d, bytearray(t.encode()), y) for d, t, y in rows], "doc_id long, body binary, y int")
+    got = df.mapInArrow(toxicity._sketches, "doc_id long, y int, least array<long>, bands array<long>").collect()
+    assert toxicity.near_copies([tuple(r) for r in got]) == {(2, 0)}
 
 
 def test_counterfactual_penalty_frees_identity_terms():
@@ -239,9 +313,11 @@ def test_counterfactual_penalty_frees_identity_terms():
 
 def test_quality_classifier(spark, docs, odd, none):
     labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", F.col("quality").alias("y"))
-    got = quality_classifier.classify(docs, labels).join(labels, "doc_id").collect()
-    good = [r.score for r in got if r.y == 1]
-    assert np.mean([s >= 0.3 for s in good]) > 0.95 and np.mean(good) > np.mean([r.score for r in got if r.y == 0])
+    rows = quality_classifier.classify(docs, labels)
+    assert all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.3) for r in rows.collect())
+    got = rows.join(labels, "doc_id").where("held_out").collect()
+    good, bad = ([r.score for r in got if r.y == k] for k in (1, 0))
+    assert np.mean([s >= 0.3 for s in good]) > 0.95 and np.mean([a > b for a in good for b in bad]) > 0.55
     assert quality_classifier.classify(odd, labels).count() == len(TEXTS) and quality_classifier.classify(none, labels).count() == 0
 
 
@@ -284,9 +360,88 @@ def test_wrapper_drops_a_template_without_telling_markup(spark):
 
 
 def test_tree_matching():
-    a = ["r", 1, [["p", 2, []], ["q", 3, []], ["s", 4, []]]]
-    b = ["r", 9, [["q", 3, []], ["t", 5, []], ["s", 6, []]]]
+    a = [["r", "p", "q", "s"], [-1, 0, 0, 0], [1, 2, 3, 4], [0] * 4, [0] * 4]
+    b = [["r", "q", "t", "s"], [-1, 0, 0, 0], [9, 3, 5, 6], [0] * 4, [0] * 4]
     assert sorted(html_extract.match(a, b)) == [(0, 0, False), (2, 1, True), (3, 3, False)]
+    # Crossing siblings: the heavier side of the crossing stays.
+    c = [["r", "p", "q", "x"], [-1, 0, 0, 2], [0] * 4, [0] * 4, [0] * 4]
+    d = [["r", "q", "p", "x"], [-1, 0, 0, 1], [0] * 4, [0] * 4, [0] * 4]
+    assert sorted((i, j) for i, j, _ in html_extract.match(c, d)) == [(0, 0), (2, 1), (3, 3)]
+
+
+def plain_match(a, b):
+    """Size of the largest order-preserving matching, by the quadratic recursion."""
+    ka, kb = html_extract._children(a), html_extract._children(b)
+
+    def size(i, j):
+        if a[0][i] != b[0][j]:
+            return 0
+        m = [[0] * (len(kb[j]) + 1) for _ in range(len(ka[i]) + 1)]
+        for x, p in enumerate(ka[i], 1):
+            for y, q in enumerate(kb[j], 1):
+                m[x][y] = max(m[x - 1][y], m[x][y - 1], m[x - 1][y - 1] + size(p, q))
+        return 1 + m[-1][-1]
+
+    return size(0, 0)
+
+
+def test_tree_matching_is_largest():
+    rng = np.random.default_rng(4)
+
+    def tree():
+        out = [["r"], [-1]]
+        for i in range(30):
+            if i >= len(out[0]):
+                break
+            for sig in rng.permutation(list("abcde"))[: rng.integers(0, 5)]:
+                out[0].append(str(sig))
+                out[1].append(i)
+        n = len(out[0])
+        return [*out, [0] * n, [0] * n, [0] * n]
+
+    for _ in range(60):
+        a, b = tree(), tree()
+        got = html_extract.match(a, b)
+        assert len(got) == plain_match(a, b) and len({i for i, _, _ in got}) == len({j for _, j, _ in got}) == len(got)
+
+
+@pytest.mark.parametrize("n", [2, 3, 12])
+def test_wrapper_decides_without_telling_markup(spark, n):
+    """Every page's text differs with and without the wrapper; slots outside of the region vary too."""
+    page = "<html><body><div class=x><p>Offer {0} of the day</p></div><div class=y><h1>Story {0}</h1><p>{1}</p><div><p>Signed by the desk of this paper</p></div></div><div class=z><p>{0} readers</p></div></body></html>"
+    rows = [(i, f"http://one.example/{i}", page.format(i, " ".join(f"word{i}x{k}" for k in range(40)))) for i in range(n)]
+    rows += [(n, "http://one.example/copy", rows[0][2]), (n + 1, "http://one.example/none", None)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, _, raw in rows[:n]:
+        assert got[i] == f"Story {i}\n" + " ".join(f"word{i}x{k}" for k in range(40))
+        assert got[i] != html_extract.main_text(raw)
+    assert got[n] == got[0] and got[n + 1] == ""
+
+
+def test_wrapper_alone_gives_the_articles(spark):
+    """On the test pages the wrapper needs no names of classes."""
+    pages = [(r.page_id, r.host, r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").withColumn("host", html_extract.host_of()).collect()]
+    rows = spark.createDataFrame([(i, h, bytearray(x.encode())) for i, h, x in pages], "page_id long, host string, body binary")
+    wrappers = {}
+    for r in html_extract.induce(rows).collect():
+        seed = json.loads(r.seed)
+        wrappers[r.host] = seed, html_extract.roles(seed, {x.node: (x.met, x.same, x.chars, x.links) for x in r.nodes})
+    decided = [(h, x) for _, h, x in pages if wrappers.get(h, (0, {}))[1]]
+    assert len(decided) > 0.8 * len(pages)
+    assert all(html_extract.main_text(x, wrappers[h], by_name=False) == article(x) for h, x in decided)
+
+
+def test_copies_on_a_host_keep_their_text(spark):
+    page = "<html><body><nav><a>{0}</a></nav><article><h1>One</h1><p>The same story on every page of the host</p></article><footer>{0} end</footer></body></html>"
+    rows = [(i, "http://one.example/", page.format(f"n{i}")) for i in range(6)]
+    got = {r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {"One\nThe same story on every page of the host"}
+
+
+def test_deep_markup(spark):
+    rows = [(0, "http://deep.example/", "<div>" * 5000 + "deep" + "</div>" * 5000), (1, "http://deep.example/", "<b>" * 20_000 + "bold"), (2, "http://deep.example/", "<ul><li>" * 3000 + "item"), (3, "http://deep.example/", "<p>" * 9000 + "para" + "</b></i>" * 9000)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "deep", 1: "bold", 2: "item", 3: "para"}
 
 
 def test_chat_roles(spark):
@@ -298,10 +453,30 @@ def test_chat_roles(spark):
 
 def test_blocked_viterbi_equals_plain(spark):
     rng = np.random.default_rng(2)
-    turns = [(1, t, "Assistant: ok" if rng.random() < 0.3 else "word " * int(rng.integers(1, 60)), ["user", "assistant"][t % 2]) for t in range(150)] + [(None, None, None, None), (2, 5, "User: hi", "user"), (2, 5, "User: hi", "user")]
-    df = spark.createDataFrame(turns, "conv_id long, turn long, text string, role string")
+    turns = [(1, t, "Assistant: ok" if rng.random() < 0.3 else "word " * int(rng.integers(1, 60)), ["user", "assistant"][t % 2], "x") for t in range(150)] + [(None, None, None, None, "x"), (2, 5, "User: hi", "user", "x"), (2, 5, "User: hi", "user", "x")]
+    turns += [(None, None, f"text {i} " * (i % 9), None, "x") for i in range(40)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, text string, role string, part string")
     few, whole = (sorted((str(r.conv_id), str(r.turn), r.role, r.rendered) for r in chat_format.recover_roles(df, block=n).collect()) for n in (7, 1000))
     assert few == whole and len(few) == len(turns)
+    seen = spark.createDataFrame([(c, t, r, 1, chat_format.observe(*chat_format.parts_of(x or "")[0])) for c, t, x, r, _ in turns], "conv_id long, turn long, role string, parts int, x array<int>")
+    model = chat_format.fit(seen)
+    want = brute.viterbi(model, [chat_format.observe(*chat_format.parts_of(x)[0]) for c, _, x, _, _ in turns if c == 1])
+    got = {r.turn: r.role for r in chat_format.recover_roles(df, block=7).where("conv_id = 1").collect()}
+    assert [got[t] for t in range(150)] == [chat_format.ROLES[s] for s in want]
+
+
+def test_transcripts_are_parsed(spark):
+    rows = [(1, 0, "System: be brief\nUser: hi\nthere\nAssistant: hello", None), (2, 0, "Context\nA user: nothing marked here", "user"), (3, 0, "<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\nr<|im_end|>", None), (4, 0, "**Human:** a\n\n## Bot\nb", None)]
+    c = spark.read.parquet(f"{SF}/conversations.parquet").select(F.col("conv_id") + 100, "turn", "text", "role").toDF("conv_id", "turn", "text", "role")
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string, role string").unionByName(c)
+    got = sorted((r.conv_id, r.part, r.role, r.rendered.split("\n", 1)[1][: -len("\n<|end|>")]) for r in chat_format.recover_roles(df).where("conv_id < 100").collect())
+    assert [(a, b, d) for a, b, _, d in got] == [(1, 0, "be brief"), (1, 1, "hi\nthere"), (1, 2, "hello"), (2, 0, "Context\nA user: nothing marked here"), (3, 0, "q"), (3, 1, "r"), (4, 0, "a"), (4, 1, "b")]
+    assert [r for a, _, r, _ in got if a in (3, 4)] == ["user", "assistant"] * 2
+
+
+def test_chats_by_thousands_of_turns(spark):
+    df = spark.range(20_000).select((F.col("id") % 2).alias("conv_id"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("turn"), F.concat(F.lit("line "), F.col("id").cast("string")).alias("text"), F.lit("user").alias("role"))
+    assert chat_format.recover_roles(df).count() == 20_000
 
 
 def test_pipeline(spark, docs, pairs):
