@@ -1,7 +1,7 @@
 """Symbols, calls and imports of Python sources, and queries over them."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _ROWS = "file_path string, row string, kind string, name string, qualified_name string, line int"
@@ -34,10 +34,14 @@ def _parse(batches):
         for path, source in zip(b.column("file_path").to_pylist(), b.column("source").to_pylist()):
             try:
                 tree = ast.parse(source or "")
-            except (SyntaxError, ValueError):
+            except (SyntaxError, ValueError, RecursionError, MemoryError):
                 out.append((path, "error", "ERROR", "", path, 0))
                 continue
-            walk(tree, path, "", f"{path}::<module>", out)
+            held = len(out)
+            try:
+                walk(tree, path, "", f"{path}::<module>", out)
+            except RecursionError:
+                out[held:] = [(path, "error", "ERROR", "", path, 0)]
         cols = list(zip(*out)) or [()] * 6
         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:5]), pa.array(cols[5], pa.int32())], names=["file_path", "row", "kind", "name", "qualified_name", "line"])
 
@@ -74,12 +78,50 @@ def callees_of(links: DataFrame, symbols_: DataFrame, name: str) -> DataFrame:
 
 
 def fingerprint(sources: DataFrame) -> DataFrame:
-    """repo, fingerprint: sha256 over path, NUL, content, NUL in the order of paths. One row holds a repository's sources."""
-    part = F.transform(F.array_sort(F.collect_list(F.struct("file_path", "source"))), lambda x: F.concat(x["file_path"], F.lit("\0"), x["source"], F.lit("\0")))
-    return sources.groupBy("repo").agg(F.sha2(F.array_join(part, ""), 256).alias("fingerprint"))
+    """repo, fingerprint: sha256 over path, NUL and the content's sha256, NUL, in the order of paths.
+
+    Contents are hashed apart, so one row holds a repository's paths and digests only.
+    """
+    rows = sources.select("repo", F.struct("file_path", F.sha2(F.coalesce("source", F.lit("")), 256).alias("sha")).alias("x"))
+    part = F.transform(F.array_sort(F.collect_list("x")), lambda x: F.concat(x["file_path"], F.lit("\0"), x["sha"], F.lit("\0")))
+    return rows.groupBy("repo").agg(F.sha2(F.array_join(part, ""), 256).alias("fingerprint"))
 
 
 def fresh(receipts: DataFrame, current: DataFrame) -> DataFrame:
     """repo, fresh: the recorded fingerprint is the current one."""
     now = current.select("repo", F.col("fingerprint").alias("now"))
     return receipts.join(now, "repo", "left").select("repo", F.coalesce(F.col("fingerprint") == F.col("now"), F.lit(False)).alias("fresh"))
+
+
+def status(symbols_: DataFrame, links: DataFrame, language: str = "python") -> DataFrame:
+    """One row: how many nodes, edges and files there are, and the languages."""
+    n = symbols_.agg(F.count("*").alias("nodes"), F.count_distinct("file_path").alias("files"), F.when(F.count("*") > 0, language).otherwise("").alias("languages"))
+    return n.crossJoin(links.agg(F.count("*").alias("edges")))
+
+
+def query_terms(objective: str) -> list[str]:
+    import re
+
+    return sorted({w for w in re.findall(r"[a-z0-9_]+", objective.lower()) if len(w) >= 3})
+
+
+def graph_slice(symbols_: DataFrame, links: DataFrame, objective: str, terms: int = 8, each: int = 8, nodes_cap: int = 16, edges_cap: int = 24) -> tuple[DataFrame, DataFrame]:
+    """The part of the graph that an objective names: nodes and edges, each with its place.
+
+    The first ``each`` nodes (by file and line) of each of the first ``terms`` terms, repeats dropped, the first
+    ``nodes_cap``; then the first ``each`` edges at each of the first ``each`` nodes, the first ``edges_cap``.
+    """
+    asked = symbols_.sparkSession.createDataFrame([(i, t) for i, t in enumerate(query_terms(objective)[:terms])], "term_at int, term string")
+    named = F.lower("name").contains(F.col("term")) | F.lower("qualified_name").contains(F.col("term"))
+    by_file = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("file_path", "line", "qualified_name"))
+    hit = symbols_.join(F.broadcast(asked), named).withColumn("rn", by_file("term_at")).where(F.col("rn") <= each)
+    first = hit.groupBy("qualified_name", "file_path", "line").agg(F.min(F.struct("term_at", "rn")).alias("seen"))
+    top = first.orderBy("seen", "qualified_name").limit(nodes_cap)
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("seen", "qualified_name"))  # nodes_cap rows
+    nodes_ = top.withColumn("place", place).select("place", "qualified_name", "file_path", "line")
+    heads = nodes_.where(F.col("place") <= each).select("place", "qualified_name")
+    ends = links.select(F.explode(F.array_distinct(F.array("source", "target"))).alias("qualified_name"), "kind", "source", "target", "file_path", "line")
+    w = Window.partitionBy("place").orderBy("file_path", "line", "kind", "source", "target")
+    near = ends.join(F.broadcast(heads), "qualified_name").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= each)
+    once = near.groupBy("kind", "source", "target", "file_path", "line").agg(F.min(F.struct("place", "rn")).alias("seen"))
+    return nodes_, once.orderBy("seen").limit(edges_cap).drop("seen")

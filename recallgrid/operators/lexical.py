@@ -9,9 +9,42 @@ from ..functions.text import tokens
 K1, B = 1.5, 0.75
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """id, term, tf of (id, text)."""
-    return docs.select("id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+class Postings:
+    """An inverted index as a table: (term, id, tf, dl) in buckets of terms, and one row of corpus statistics.
+
+    A query reads the buckets of its terms and, of these, the row groups with the terms; texts are cut into tokens
+    once, when the index is written. A bucket is written by several tasks, as a frequent term is in every text.
+    """
+
+    SCHEMA = "term string, id {id}, tf int, dl int, bucket int"
+
+    def __init__(self, spark, path: str, id_type: str = "long", buckets: int = 64):
+        self.spark, self.path, self.id_type, self.buckets = spark, path, id_type, buckets
+
+    def write(self, docs: DataFrame, spread: int = 8) -> Postings:
+        """Index (id, text); texts without tokens count in the statistics."""
+        toks = docs.select("id", tokens(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
+        rows = toks.select("id", "dl", F.explode("tokens").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
+        rows = rows.select("term", "id", "tf", "dl", F.pmod(F.crc32("term"), F.lit(self.buckets)).cast("int").alias("bucket"))
+        rows = rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(spread))).sortWithinPartitions("bucket", "term", "id")
+        rows.write.partitionBy("bucket").parquet(f"{self.path}/postings")
+        toks.agg(F.count("*").alias("n"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl")).coalesce(1).write.parquet(f"{self.path}/stats")
+        return self
+
+    def search(self, query: str, k: int) -> DataFrame:
+        """As bm25()."""
+        import re
+        import zlib
+
+        terms = sorted({t for t in re.split(r"[\W_]+", query.lower()) if t})
+        rows = self.spark.read.schema(self.SCHEMA.format(id=self.id_type)).parquet(f"{self.path}/postings")
+        rows = rows.where(F.col("bucket").isin([zlib.crc32(t.encode()) % self.buckets for t in terms]) & F.col("term").isin(terms))
+        stats = F.broadcast(self.spark.read.schema("n long, avgdl double").parquet(f"{self.path}/stats"))  # one row
+        df = F.broadcast(rows.groupBy("term").agg(F.count("*").alias("df")))  # a row for each term of the query
+        f = F.col("tf")
+        part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        scored = rows.join(df, "term").crossJoin(stats).groupBy("id").agg(F.sum(part).alias("score"))
+        return scored.where("score > 0").orderBy(F.desc("score"), "id").limit(k)
 
 
 def _same(term: str):

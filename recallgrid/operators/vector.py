@@ -17,27 +17,29 @@ def recall(memories: DataFrame, query: list[float], k: int, condition: Column |
     return rows.select("slot_id", checked.alias("score")).orderBy(F.desc("score"), "slot_id").limit(k)
 
 
-def recall_batch(memories: DataFrame, queries: DataFrame, k: int, block: int = 2_048) -> DataFrame:
+def recall_batch(memories: DataFrame, queries: DataFrame, k: int, block: int = 2_048, metric: str = "cosine", cells=None) -> DataFrame:
     """query_id, slot_id, score, rank: the k best current memories of each query (query_id, vector).
 
     The queries are collected and sent in blocks of at most ``block``; each task keeps k rows a
-    query by one matrix product, and a window over those merges the tasks.
+    query by one matrix product, and a window over those merges the tasks. ``metric``: cosine or dot.
+    ``cells``: which cells (column ``cell`` of the memories) a query looks into, as a function of its vector.
     """
     import numpy as np
 
-    rows = memories.where(current()).select("slot_id", F.col("vector").cast("array<double>").alias("vector"))
+    rows = memories.where(current()).select("slot_id", F.col("vector").cast("array<double>").alias("vector"), *([F.col("cell").cast("int")] if cells else []))
+    unit = lambda x: x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) == 0, 1, n) if metric == "cosine" else x
     asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).orderBy("query_id").collect()
     out = None
     for at in range(0, max(len(asked), 1), block):
         part = asked[at : at + block]
         q = np.array([r.vector for r in part], float).reshape(len(part), -1)
-        norms = np.linalg.norm(q, axis=1, keepdims=True) if len(part) else q
-        held = memories.sparkSession.sparkContext.broadcast(([r.query_id for r in part], q / np.where(norms == 0, 1, norms)))
+        probed = np.array([np.isin(np.arange(cells.n), cells(r.vector)) for r in part]) if cells else None
+        held = memories.sparkSession.sparkContext.broadcast(([r.query_id for r in part], unit(q) if len(part) else q, probed))
 
         def best(batches, held=held):
             import pyarrow as pa
 
-            ids, q = held.value
+            ids, q, probed = held.value
             if not ids:
                 return
             for b in batches:
@@ -45,8 +47,9 @@ def recall_batch(memories: DataFrame, queries: DataFrame, k: int, block: int = 2
                 if not len(slots):
                     continue
                 m = b.column("vector").flatten().to_numpy().reshape(len(slots), -1)
-                n = np.linalg.norm(m, axis=1, keepdims=True)
-                s = q @ (m / np.where(n == 0, 1, n)).T
+                s = q @ unit(m).T
+                if probed is not None:
+                    s = np.where(probed[:, b.column("cell").to_numpy()], s, -np.inf)
                 keep = np.lexsort((np.broadcast_to(slots, s.shape), -s), axis=1)[:, :k]
                 width = keep.shape[1]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, width)), pa.array(slots[keep].ravel()), pa.array(np.take_along_axis(s, keep, 1).ravel())], names=["query_id", "slot_id", "score"])
@@ -54,13 +57,18 @@ def recall_batch(memories: DataFrame, queries: DataFrame, k: int, block: int = 2
         found = rows.mapInArrow(best, "query_id long, slot_id long, score double")
         out = found if out is None else out.unionByName(found)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "slot_id"))
+    if cells:
+        out = out.where(F.col("score") > float("-inf"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 class ProductQuantizer:
-    """Codebooks by k-means on a bounded sample; codes, distances and drift on all rows."""
+    """Codebooks by k-means on a bounded sample; codes, distances and drift on all rows.
 
-    def __init__(self, subspaces: int = 32, cells: int = 32, seed: int = 7, max_rows: int = 20_000, rounds: int = 25):
+    Without ``subspaces`` there are 128 where the dimension allows, else as many as its largest divisor up to that.
+    """
+
+    def __init__(self, subspaces: int | None = None, cells: int = 256, seed: int = 7, max_rows: int = 20_000, rounds: int = 25):
         self.subspaces, self.cells, self.seed, self.max_rows, self.rounds, self.book = subspaces, cells, seed, max_rows, rounds, None
 
     def train(self, memories: DataFrame) -> ProductQuantizer:
@@ -72,17 +80,19 @@ class ProductQuantizer:
             raise ValueError("nothing to train on")
         rng = np.random.default_rng(self.seed)
         book = []
+        self.subspaces = self.subspaces or max(m for m in range(1, 129) if x.shape[1] % m == 0)
         for p in np.split(x, self.subspaces, axis=1):
             if len(p) <= self.cells:
                 book.append(p[np.arange(self.cells) % len(p)])
                 continue
             c = [p[rng.integers(len(p))]]
+            d = ((p - c[0]) ** 2).sum(1)
             for _ in range(self.cells - 1):
-                d = ((p[:, None] - np.array(c)[None]) ** 2).sum(2).min(1)
                 c.append(p[rng.choice(len(p), p=d / d.sum()) if d.sum() else 0])
+                d = np.minimum(d, ((p - c[-1]) ** 2).sum(1))
             c = np.array(c)
             for _ in range(self.rounds):
-                d = ((p[:, None] - c[None]) ** 2).sum(2)
+                d = (p * p).sum(1)[:, None] - 2 * p @ c.T + (c * c).sum(1)[None]
                 own = d.argmin(1)
                 new = np.array([p[own == i].mean(0) if (own == i).any() else p[d.min(1).argmax()] for i in range(self.cells)])
                 if np.allclose(new, c):
@@ -136,20 +146,20 @@ class ProductQuantizer:
         book = F.array(*(F.array(*(F.array(*map(F.lit, c)) for c in cells)) for cells in self._need()))
         return F.flatten(F.transform(code, lambda c, m: F.get(F.get(book, m), c.cast("int"))))
 
-    def recall(self, memories: DataFrame, query: list[float], k: int) -> DataFrame:
-        """Table distances keep max(8k, 128) coded memories, exact cosine the k best of them."""
+    def recall(self, memories: DataFrame, query: list[float], k: int, codes: DataFrame | None = None) -> DataFrame:
+        """``codes``: encode_rows() of the memories, if it was written. Table distances keep max(8k, 128) coded memories, exact cosine the k best of them."""
         import numpy as np
 
         book = np.array(self._need())
         parts = np.array(query, float).reshape(len(book), 1, -1)
         table = ((parts - book) ** 2).sum(2)
         t = F.array(*(F.array(*map(F.lit, row.tolist())) for row in table))
-        codes = self.encode_rows(memories)
+        codes = self.encode_rows(memories) if codes is None else codes
         adc = F.aggregate(F.transform("code", lambda c, m: F.get(F.get(t, m), c.cast("int"))), F.lit(0.0), lambda s, x: s + x)
         near = codes.join(memories.where(current()).select("slot_id"), "slot_id", "left_semi").select("slot_id", adc.alias("d")).orderBy("d", "slot_id").limit(max(8 * k, 128))
         return recall(memories.join(F.broadcast(near.select("slot_id")), "slot_id", "left_semi"), query, k)
 
-    def recall_batch(self, memories: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    def recall_batch(self, memories: DataFrame, queries: DataFrame, k: int, codes: DataFrame | None = None) -> DataFrame:
         """query_id, slot_id, score, rank: recall() for each query (query_id, vector); the queries are collected."""
         import numpy as np
 
@@ -175,7 +185,8 @@ class ProductQuantizer:
                     yield pa.RecordBatch.from_arrays([pa.array([q] * len(keep), pa.int64()), pa.array(slots[keep]), pa.array(d[keep])], names=["query_id", "slot_id", "d"])
 
         now = memories.where(current())
-        found = self.encode_rows(now).mapInArrow(best, "query_id long, slot_id long, d double")
+        coded = self.encode_rows(now) if codes is None else codes.join(now.select("slot_id"), "slot_id", "left_semi")
+        found = coded.mapInArrow(best, "query_id long, slot_id long, d double")
         rank = lambda *by: F.row_number().over(Window.partitionBy("query_id").orderBy(*by))
         near = found.withColumn("at", rank("d", "slot_id")).where(F.col("at") <= cap).select("query_id", "slot_id")
         pairs = near.join(F.broadcast(asked.withColumnRenamed("vector", "asked")), "query_id").join(now.select("slot_id", "vector"), "slot_id")
@@ -192,3 +203,16 @@ def int8_recall(memories: DataFrame, query: list[float], k: int) -> DataFrame:
     v = V.int8(V.doubles(F.col("vector")))
     s = F.aggregate(F.zip_with(v, F.array(*map(F.lit, q)), lambda x, y: x.cast("long") * y), F.lit(0).cast("long"), lambda s, x: s + x)
     return memories.where(current()).select("slot_id", s.alias("score")).orderBy(F.desc("score"), "slot_id").limit(k)
+
+
+def int8_recall_batch(memories: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, slot_id, score, rank: int8_recall() for each query (query_id, vector), exact in whole numbers."""
+    code = lambda c: V.int8(V.doubles(F.col(c))).cast("array<double>")
+    return recall_batch(memories.withColumn("vector", code("vector")), queries.withColumn("vector", code("vector")), k, metric="dot")
+
+
+def overlap_report(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    """overlap (0 to 1), queries, top1 (their mean agreement on the first) of two recalls (query_id, slot_id, rank), by overlap."""
+    mine, other = (x.groupBy("query_id").agg(F.collect_set("slot_id").alias(n), F.min_by("slot_id", "rank").alias(n + "1")) for x, n in ((a, "a"), (b, "b")))
+    both = mine.join(other, "query_id").select(F.round(F.size(F.array_intersect("a", "b")) / k, 4).alias("overlap"), (F.col("a1") == F.col("b1")).cast("double").alias("same"))
+    return both.groupBy("overlap").agg(F.count("*").alias("queries"), F.round(F.avg("same"), 6).alias("top1"))

@@ -42,21 +42,31 @@ def resolved_decisions(refs: DataFrame, sources: list[tuple[str, str, DataFrame]
     return out.select("ref", F.coalesce(authority, F.lit("unresolved")).alias("authority"), F.coalesce(freshness, F.lit("unavailable")).alias("freshness"), F.coalesce(*content).alias("content"))
 
 
-def chain_issues(log: DataFrame, repo: str, genesis: str = "0" * 64) -> DataFrame:
-    """log_id, sequence, issue of each fault: json, repo, sequence, previous, hash. Later rows are checked all the same.
+EVENT_FIELDS = ["sequence", "repo_id", "event_type", "timestamp", "task_id", "payload"]
 
-    ``log``: log_id, sequence, repo_id, payload, previous_hash, event_hash (sha256 of the fields by '|').
+
+def chain_issues(log: DataFrame, repo: str, heads: DataFrame | None = None, genesis: str = "0" * 64) -> DataFrame:
+    """log_id, sequence, issue of each fault: json, repo, sequence, previous, hash, head. Later rows are checked all the same.
+
+    ``log``: log_id, EVENT_FIELDS, previous_hash, event_hash (sha256 of the previous hash and the fields by '|');
+    ``heads``: log_id, head, the recorded hash of each log's last event. A log without rows has head at 0.
     """
+    from .integrity import entry_hash
+
     w = Window.partitionBy("log_id").orderBy("sequence")
-    body = F.concat_ws("|", F.col("sequence").cast("string"), "repo_id", "payload", "previous_hash")
     faults = F.array(
         F.when(~F.coalesce(F.try_parse_json("payload").isNotNull(), F.lit(False)), "json"),
         F.when(F.col("repo_id") != repo, "repo"),
         F.when(F.col("sequence") != F.coalesce(F.lag("sequence").over(w) + 1, F.lit(1).cast("long")), "sequence"),
         F.when(F.col("previous_hash") != F.coalesce(F.lag("event_hash").over(w), F.lit(genesis)), "previous"),
-        F.when(F.col("event_hash") != F.sha2(body, 256), "hash"),
+        F.when(F.col("event_hash") != entry_hash(F.col("previous_hash"), *EVENT_FIELDS), "hash"),
     )
-    return log.withColumn("issues", F.array_compact(faults)).select("log_id", "sequence", F.explode("issues").alias("issue"))
+    rows = log.withColumn("issues", F.array_compact(faults)).select("log_id", "sequence", F.explode("issues").alias("issue"))
+    if heads is None:
+        return rows
+    last = log.groupBy("log_id").agg(F.max("sequence").alias("sequence"), F.max_by("event_hash", "sequence").alias("own"))
+    cut = heads.join(last, "log_id", "left").where(~F.col("own").eqNullSafe(F.col("head")))
+    return rows.unionByName(cut.select("log_id", F.coalesce("sequence", F.lit(0).cast("long")).alias("sequence"), F.lit("head").alias("issue")))
 
 
 def improved(baseline: DataFrame, replay: DataFrame) -> DataFrame:
@@ -130,16 +140,98 @@ def safety_violations(checkpoints: DataFrame) -> DataFrame:
     return checkpoints.groupBy("task_id").agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("violated"))
 
 
-def redacted(receipts: DataFrame, hidden: list[str]) -> DataFrame:
-    """The rows without the hidden columns."""
-    return receipts.drop(*hidden)
+def redacted(tasks: DataFrame, hidden: list[str], receipts: str = "receipts") -> DataFrame:
+    """The rows without the hidden columns, and the structs of the array column ``receipts`` without those fields."""
+    keep = [f.name for f in tasks.schema[receipts].dataType.elementType.fields if f.name not in hidden]
+    slim = F.transform(receipts, lambda r: F.struct(*(r[n].alias(n) for n in keep)))
+    return tasks.drop(*(c for c in hidden if c in tasks.columns)).withColumn(receipts, slim)
+
+
+def context_delta(events: DataFrame, checkpoints: DataFrame, contracts: DataFrame, decisions: DataFrame, skills: DataFrame) -> DataFrame:
+    """What changed for each task since its latest checkpoint: task_id, kind, ref, digest.
+
+    ``checkpoints``: task_id, sequence, event_sequence, contract_digest, refs (map of ref -> content digest).
+    Kinds: 'event' (task_id, sequence, payload after the checkpoint's event), 'contract' (task_id, contract whose
+    digest isn't the recorded one), 'decision' (``decisions``: task_id, ref, content, resolved anew) and 'skill'
+    (``skills``: task_id, ref, content) whose digest is new or another one. Without a checkpoint all is new.
+    """
+    last = checkpoints.groupBy("task_id").agg(F.max_by(F.struct("event_sequence", "contract_digest", "refs"), "sequence").alias("c"))
+    new = events.join(last, "task_id", "left").where(F.col("sequence") > F.coalesce("c.event_sequence", F.lit(-1)))
+    out = new.select("task_id", F.lit("event").alias("kind"), F.col("sequence").cast("string").alias("ref"), F.sha2(F.col("payload"), 256).alias("digest"))
+    now = contracts.join(last, "task_id", "left").withColumn("digest", F.sha2(F.col("contract"), 256))
+    out = out.unionByName(now.where(~F.col("digest").eqNullSafe(F.col("c.contract_digest"))).select("task_id", F.lit("contract").alias("kind"), F.lit("contract").alias("ref"), "digest"))
+    for kind, found in (("decision", decisions), ("skill", skills)):
+        now = found.join(last, "task_id", "left").withColumn("digest", F.sha2(F.col("content"), 256))
+        was = F.try_element_at("c.refs", F.col("ref"))
+        out = out.unionByName(now.where(~F.col("digest").eqNullSafe(was)).select("task_id", F.lit(kind).alias("kind"), "ref", "digest"))
+    return out
+
+
+def promotion(skills: DataFrame, evaluations: DataFrame) -> DataFrame:
+    """skill_id, verdict: 'promote' or the first gate that fails.
+
+    ``skills``: skill_id, risk, sources (distinct sealed tasks), approval; ``evaluations``: skill_id,
+    replay_task_id, status, improved. Replays count once each. High risk: an approval, one passed and one improved
+    replay; else three sources, two passed and two improved.
+    """
+    ok = F.col("status") == "pass"
+    runs = evaluations.groupBy("skill_id").agg(F.count_distinct(F.when(ok, F.col("replay_task_id"))).alias("passed"), F.count_distinct(F.when(ok & F.col("improved"), F.col("replay_task_id"))).alias("better"))
+    rows = skills.join(runs, "skill_id", "left").withColumns({"passed": F.coalesce("passed", F.lit(0)), "better": F.coalesce("better", F.lit(0))})
+    high = F.lower("risk").rlike("|".join(RISK_WORDS))
+    need = F.when(high, 1).otherwise(2)
+    verdict = (
+        F.when(high & (F.coalesce("approval", F.lit("")) == ""), "no approval").when(~high & (F.size(F.array_distinct("sources")) < 3), "too few sources")
+        .when(F.col("passed") < need, "too few passed replays").when(F.col("better") < need, "too few improved replays").otherwise("promote")
+    )
+    return rows.select("skill_id", verdict.alias("verdict"))
 
 
-def context_delta(events: DataFrame, checkpoints: DataFrame) -> DataFrame:
-    """task_id, sequence, digest of the events after each task's latest checkpoint's event_sequence (all, without one)."""
-    last = checkpoints.groupBy("task_id").agg(F.max_by("event_sequence", "sequence").alias("after"))
-    new = events.join(last, "task_id", "left").where(F.col("sequence") > F.coalesce("after", F.lit(-1)))
-    return new.select("task_id", "sequence", F.sha2(F.col("payload"), 256).alias("digest"))
+def demotion(skills: DataFrame, outcomes: DataFrame, policy: int, now: str) -> DataFrame:
+    """skill_id, reasons (in a fixed order; empty: none) of skills that can't stay promoted.
+
+    ``skills``: skill_id, schema_version, policy_version, proof_expires_at; ``outcomes``: skill_id, status, issues.
+    """
+    bad = F.col("status") == "fail"
+    runs = outcomes.groupBy("skill_id").agg(F.count_if(bad).alias("failures"), F.bool_or(bad & F.exists("issues", lambda x: x.contains("safety violation"))).alias("unsafe"))
+    rows = skills.join(runs, "skill_id", "left")
+    expiry = F.col("proof_expires_at")
+    reasons = F.array(
+        F.when(~F.col("schema_version").eqNullSafe(F.lit(1)), "schema"), F.when(~F.col("policy_version").eqNullSafe(F.lit(policy)), "policy"),
+        F.when(expiry.isNull(), "no proof expiry").when(expiry + F.expr("interval 30 days") < F.lit(now).cast("timestamp"), "proof expired"),
+        F.when(F.col("failures") >= 3, F.concat(F.col("failures").cast("string"), F.lit(" failures"))), F.when(F.col("unsafe"), "safety violation"),
+    )
+    return rows.select("skill_id", F.array_compact(reasons).alias("reasons"))
+
+
+def release_report(events: DataFrame, tasks: DataFrame, started: str, now: str, chain_valid: bool, attested: bool) -> DataFrame:
+    """One row: managed, sealed, blocked and failed tasks, elapsed days, blockers and ready.
+
+    ``events``: task_id, event_type, ts; ``tasks``: task_id, status. A task is managed if it was created since the start.
+    """
+    managed = events.where((F.col("event_type") == "task_created") & (F.col("ts") >= F.lit(started).cast("timestamp"))).select("task_id").distinct()
+    known = managed.join(tasks, "task_id", "left")
+    ids = lambda status: F.array_sort(F.collect_set(F.when(F.col("status") == status, F.col("task_id"))))
+    days = F.lit(now).cast("timestamp").cast("long") - F.lit(started).cast("timestamp").cast("long")
+    row = known.agg(F.count("*").alias("managed"), F.count_if(F.col("status") == "sealed").alias("sealed"), ids("blocked").alias("blocked"), ids("failed").alias("failed"), F.count_if(F.col("status").isNull()).alias("unread"))
+    row = row.withColumn("days", F.greatest(F.floor(days / 86400), F.lit(0)))
+    blockers = F.array(
+        F.when(F.col("unread") > 0, "unreadable tasks"), F.when(F.lit(not chain_valid), "chain"), F.when(F.col("days") < 30, F.concat(F.col("days").cast("string"), F.lit("/30 days"))),
+        F.when(F.col("managed") < 100, F.concat(F.col("managed").cast("string"), F.lit("/100 tasks"))), F.when(F.lit(not attested), "no attestation"),
+    )
+    return row.withColumn("blockers", F.array_compact(blockers)).withColumn("ready", F.size("blockers") == 0).drop("unread")
+
+
+def candidates(tasks: DataFrame, need: int = 3) -> DataFrame:
+    """task_type, allowed_paths, sources (sealed tasks, sorted), missing: how many more a skill needs. Paths are compared in order."""
+    sealed = tasks.where("status = 'sealed'").groupBy("task_type", "allowed_paths").agg(F.array_sort(F.collect_set("task_id")).alias("sources"))
+    return sealed.withColumn("missing", F.greatest(F.lit(0), F.lit(need) - F.size("sources")))
+
+
+def failures_and_risks(receipts: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """task_id, kind, ref: failed receipts (task_id, criterion_id, status) and checkpoints (task_id, sequence, open_risks) that list risks."""
+    bad = receipts.where("status = 'fail'").select("task_id", F.lit("failed receipt").alias("kind"), F.col("criterion_id").cast("string").alias("ref"))
+    open_ = checkpoints.where(F.coalesce(F.json_array_length("open_risks"), F.lit(0)) > 0)
+    return bad.unionByName(open_.select("task_id", F.lit("open risks").alias("kind"), F.col("sequence").cast("string").alias("ref")))
 
 
 def versions(log: DataFrame) -> DataFrame:
@@ -194,19 +286,8 @@ def transcript(blocks: DataFrame, block_max: int, total_max: int) -> DataFrame:
     return lines.groupBy("session").agg(text.alias("text")).select("session", F.expr(f"right(text, {total_max})").alias("text"))
 
 
-def chained(log: DataFrame, genesis: str = "0" * 64) -> DataFrame:
-    """Adds previous_hash and event_hash to (log_id, sequence, repo_id, payload). A chain is sequential: one group a log."""
-
-    def run(pdf):
-        import hashlib
-
-        pdf = pdf.sort_values("sequence")
-        at, before, own = genesis, [], []
-        for row in zip(pdf.sequence, pdf.repo_id, pdf.payload):
-            before.append(at)
-            at = hashlib.sha256("|".join([*map(str, row), at]).encode()).hexdigest()
-            own.append(at)
-        return pdf.assign(previous_hash=before, event_hash=own)
+def chained(log: DataFrame) -> DataFrame:
+    """Adds previous_hash and event_hash to (log_id, EVENT_FIELDS)."""
+    from . import integrity
 
-    rows = log.select("log_id", F.col("sequence").cast("long").alias("sequence"), "repo_id", "payload")
-    return rows.groupBy("log_id").applyInPandas(run, "log_id long, sequence long, repo_id string, payload string, previous_hash string, event_hash string")
+    return integrity.chained(log, "log_id", EVENT_FIELDS, ("previous_hash", "event_hash"))

@@ -1,2 +1,2 @@
 """Query catalog."""
-from . import catalog, fusion, rows, workflow  # noqa: F401
+from . import catalog, fusion, ledger, rows, workflow  # noqa: F401

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import filters, graph, integrity, lexical, oplog, structured, vector
+from ..operators import filters, graph, lexical, oplog, structured, vector
 from ..sources import memory as M
 
 QUERIES: dict = {}
@@ -50,27 +50,11 @@ def sc1_live_scan(spark, d):
     return M.memories(spark, d).where(filters.live()).select("slot_id", "text", "superseded")
 
 
-@query(f"with {_MEM} select slot_id, text from mem where not tombstoned and slot_id >= 100 order by slot_id limit 50")
-def sc2_page(spark, d):
-    return M.memories(spark, d).where(filters.live() & (F.col("slot_id") >= 100)).orderBy("slot_id").limit(50).select("slot_id", "text")
-
-
 @query(f"with {_MEM} select slot_id, text from mem where slot_id < 400 and not tombstoned and not superseded and text <> ''")
 def sc3_committed_scan(spark, d):
     return M.memories(spark, d).where(filters.current() & (F.col("slot_id") < 400) & (F.col("text") != "")).select("slot_id", "text")
 
 
-@query(f"with {_MEM} select slot_id, text from mem where slot_id = 37 and not tombstoned")
-def sc4_point_get(spark, d):
-    return M.memories(spark, d).where(filters.live() & (F.col("slot_id") == 37)).select("slot_id", "text")
-
-
-@query(f"with {_MEM} select coalesce(min(slot_id), -1) as slot_id from mem where text = 'memory 41 topic ' || label and text like 'memory 41 %' and not superseded")
-def sc5_find_by_id(spark, d):
-    found = M.memories(spark, d).where((F.regexp_extract("text", r"^memory (\d+) ", 1) == "41") & ~F.col("superseded"))
-    return found.agg(F.coalesce(F.min("slot_id"), F.lit(-1)).alias("slot_id"))
-
-
 @query(f"with {_MEM} select count(*) filter (not tombstoned) as live_count, count(*) as slot_count from mem")
 def sc7_counts(spark, d):
     return M.memories(spark, d).agg(F.count_if(~F.col("tombstoned")).alias("live_count"), F.count("*").alias("slot_count"))
@@ -102,11 +86,6 @@ def sk3_compact(spark, d):
     return oplog.compacted(oplog.fold(M.ops(spark, d)))
 
 
-@query(f"with {_EDGES} select src, max_by(dst, seq) as dst, max(seq) as seq from edges group by src")
-def w8_set_edge(spark, d):
-    return M.edges(spark, d).groupBy("src").agg(F.max_by("dst", "seq").alias("dst"), F.max("seq").alias("seq"))
-
-
 @query(f"with {_MEM}, {_EDGES} select slot_id, exists(select 1 from edges e where e.dst = slot_id and edge_type = 2) as updated from mem")
 def w4_updated(spark, d):
     hit = M.edges(spark, d).where("edge_type = 2").select(F.col("dst").alias("slot_id"), F.lit(True).alias("u")).distinct()
@@ -220,25 +199,6 @@ def v11_int8_codes(spark, d):
     return M.memories(spark, d).select("slot_id", F.array_join(V.int8(V.doubles(F.col("vector"))).cast("array<string>"), ",").alias("code"))
 
 
-@query(f"with {_MEM} select slot_id, round(list_sum(list_transform(vector::double[], lambda x: x * x)), 4) as sq, round(sqrt(list_dot_product(vector::double[], vector::double[])), 4) as norm from mem")
-def v16_norms(spark, d):
-    v = V.doubles(F.col("vector"))
-    return M.memories(spark, d).select("slot_id", F.round(V.norm(v) * V.norm(v), 4).alias("sq"), F.round(V.norm(v), 4).alias("norm"))
-
-
-@query()
-def v9_recall_pq(spark, d):
-    m = M.memories(spark, d)
-    asked = M.table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return vector.ProductQuantizer().train(m).recall_batch(m, asked, 10).select("query_id", "slot_id", F.round("score", 5).alias("score"), "rank")
-
-
-@query()
-def v6_pq_codes(spark, d):
-    m = M.memories(spark, d)
-    return vector.ProductQuantizer().train(m).encode_rows(m).select("slot_id", "code", F.round("aligned", 5).alias("aligned"))
-
-
 @query()
 def v10_drift(spark, d):
     m = M.memories(spark, d)
@@ -248,19 +208,6 @@ def v10_drift(spark, d):
 # Lexical and hybrid
 
 
-_BM = "the of and"
-_BM25 = f"""with t as (select doc_id, {_TOK} as toks from documents), n as (select count(*) as n, greatest(avg(len(toks)), 1) as avgdl from t),
-p as (select doc_id, len(toks) as dl, w.term, len(list_filter(toks, lambda x: x = w.term)) as tf from t, (values ('the'), ('of'), ('and')) w(term)),
-df as (select term, count(*) filter (tf > 0) as df from p group by term),
-s as (select doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score from p join df using (term), n where tf > 0 group by doc_id)"""
-
-
-@query(f"{_BM25} select doc_id, round(score, 6) as score from s where score > 0 order by s.score desc, doc_id limit 20")
-def l4_bm25(spark, d):
-    docs = M.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    return lexical.bm25(docs, _BM, 20).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
-
-
 @query(f"select w as term, count(*) as df from (select unnest(list_distinct({_TOK})) as w from documents) group by w")
 def l2_document_frequency(spark, d):
     docs = M.table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
@@ -272,12 +219,6 @@ def l1_tokens(spark, d):
     return M.table(spark, d, "documents").select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("dl"))
 
 
-@query(f"select doc_id, round(len(list_intersect(list_distinct({_TOK}), ['the', 'of', 'and', 'que'])) / 4.0, 4) as overlap from documents")
-def l6_overlap(spark, d):
-    q = F.array(*map(F.lit, ("the", "of", "and", "que")))
-    return M.table(spark, d, "documents").select("doc_id", F.round(F.size(F.array_intersect(q, F.array_distinct(T.tokens(F.col("text"))))) / 4.0, 4).alias("overlap"))
-
-
 @query(f"""with {_CUR}, a as (select text, row_number() over (order by {_COS} desc, slot_id) as rn from cur, q), b as (select text, row_number() over (order by slot_id % 13 desc, slot_id) as rn from cur),
 u as (select text, rn, 0 as lane from a where rn <= 128 union all select text, rn, 1 from b where rn <= 128), f as (select text as key, sum(1.0::double / (60 + rn)) as score, min(lane * 1000 + rn) as first from u group by text)
 select key, round(score, 6) as score from f order by f.score desc, first limit 20""")
@@ -296,13 +237,6 @@ def h6_mmr(spark, d):
     return lexical.mmr(vector.recall_batch(m, asked, 30).join(m.select("slot_id", "vector"), "slot_id"), 10)
 
 
-@query(f"with {_MEM} select case when text like '%topic 1' then 'decision' when text like '%topic 2' then 'refactor' when text like '%topic 3' then 'bug' else 'other' end as bucket, count(*) as n, min(slot_id) as first from mem group by 1")
-def h9_buckets(spark, d):
-    t = F.col("text")
-    b = F.when(t.endswith("topic 1"), "decision").when(t.endswith("topic 2"), "refactor").when(t.endswith("topic 3"), "bug").otherwise("other")
-    return M.memories(spark, d).groupBy(b.alias("bucket")).agg(F.count("*").alias("n"), F.min("slot_id").alias("first"))
-
-
 # Graph
 
 
@@ -341,23 +275,12 @@ def g6_history(spark, d):
     return m.groupBy((F.col("slot_id") % 50).alias("chain_id")).agg(F.array_join(F.array_sort(F.collect_list("slot_id")).cast("array<string>"), ">").alias("history"))
 
 
-@query(f"with {_EDGES} select dst, count(*) as n from edges group by dst")
-def g7_degree(spark, d):
-    return M.edges(spark, d).groupBy("dst").agg(F.count("*").alias("n"))
-
-
 @query(f"with {_EDGES} select src, dst, greatest(1, least(255, cast(round(coalesce(weight / 255.0, 1) * 255) as int))) as weight from edges")
 def g17_weights(spark, d):
     w = F.greatest(F.lit(1), F.least(F.lit(255), F.round(F.coalesce(F.col("weight") / 255.0, F.lit(1.0)) * 255).cast("int")))
     return M.edges(spark, d).select("src", "dst", w.alias("weight"))
 
 
-@query(f"""with {_MEM}, r as (select label, slot_id, row_number() over (partition by label order by slot_id) as rn from mem) select label, slot_id from r where rn <= 8""")
-def g14_slice(spark, d):
-    rn = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-    return M.table(spark, d, "embeddings").select("label", F.col("vec_id").alias("slot_id"), rn.alias("rn")).where("rn <= 8").drop("rn")
-
-
 # Joins
 
 
@@ -392,31 +315,12 @@ def j10_anti(spark, d):
 # Aggregates
 
 
-@query(f"""with {_MEM}, e as (select count(*) as relationships from (with {_EDGES} select * from edges)) select org_id, count(*) filter (not tombstoned) as live, count(*) filter (not tombstoned and layer = 0) as memories,
-count(*) filter (not tombstoned and layer = 0 and not superseded) as latest, greatest(0, count(*) filter (not tombstoned) - count(*) filter (not tombstoned and layer = 0)) as other from mem group by org_id""")
-def a1_org_stats(spark, d):
-    live, memo = filters.live(), filters.live() & (F.col("layer") == 0)
-    return M.memories(spark, d).groupBy("org_id").agg(F.count_if(live).alias("live"), F.count_if(memo).alias("memories"), F.count_if(memo & ~F.col("superseded")).alias("latest"), F.greatest(F.lit(0), F.count_if(live) - F.count_if(memo)).alias("other"))
-
-
 @query("""select user_id, (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000 as duration_ms, count(*) as n_events, count(*) filter (event_type = 'error') as failures, count(*) filter (event_type = 'click') as actions from events group by user_id""")
 def a3_replay_metrics(spark, d):
     us = lambda c: F.unix_micros(c.cast("timestamp"))
     return M.table(spark, d, "events").groupBy("user_id").agg(F.floor((us(F.max("ts")) - us(F.min("ts"))) / 1000).alias("duration_ms"), F.count("*").alias("n_events"), F.count_if(F.col("event_type") == "error").alias("failures"), F.count_if(F.col("event_type") == "click").alias("actions"))
 
 
-@query("""with m as (select user_id, count(distinct event_type) as kinds, count(*) filter (event_type = 'error') as bad, count(*) as n from events group by user_id) select user_id, case when bad > 0 then n >= 5 and kinds >= 3 else n >= 3 end as promoted from m""")
-def a5_promotion(spark, d):
-    m = M.table(spark, d, "events").groupBy("user_id").agg(F.count_distinct("event_type").alias("kinds"), F.count_if(F.col("event_type") == "error").alias("bad"), F.count("*").alias("n"))
-    return m.select("user_id", F.when(F.col("bad") > 0, (F.col("n") >= 5) & (F.col("kinds") >= 3)).otherwise(F.col("n") >= 3).alias("promoted"))
-
-
-@query("""select user_id, array_to_string(list_filter([case when sum((event_type = 'error')::int) >= 3 then 'failures' end, case when max(value) > 100 then 'violation' end], lambda x: x is not null), ',') as reasons from events group by user_id""")
-def a6_demotion(spark, d):
-    r = F.array_join(F.array_compact(F.array(F.when(F.count_if(F.col("event_type") == "error") >= 3, "failures"), F.when(F.max("value") > 100, "violation"))), ",")
-    return M.table(spark, d, "events").groupBy("user_id").agg(r.alias("reasons"))
-
-
 @query("select user_id, max_by(event_type, event_id) as status from events group by user_id")
 def a8_status(spark, d):
     return M.table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("status"))
@@ -434,11 +338,6 @@ def a12_floor_percentile(spark, d):
     return e.where(F.col("rn") == F.least(F.col("n"), F.floor(F.lit(0.9) * F.col("n")) + 1)).select("event_type", F.col("value").alias("p90"))
 
 
-@query("select lang, round(1 - sum(strlen(left(text, 500)))::double / sum(strlen(text)), 6) as reduction from documents group by lang")
-def a14_reduction(spark, d):
-    return M.table(spark, d, "documents").groupBy("lang").agg(F.round(1 - F.sum(F.octet_length(F.substring("text", 1, 500))) / F.sum(F.octet_length("text")), 6).alias("reduction"))
-
-
 @query("select split_part(split_part(url, '/', 3), '.', -1) as ext, count(*) as n from pages group by 1")
 def a15_histogram(spark, d):
     return M.table(spark, d, "pages").groupBy(F.element_at(F.split(F.element_at(F.split("url", "/"), 3), r"\."), -1).alias("ext")).agg(F.count("*").alias("n"))
@@ -487,20 +386,6 @@ def e4_dedupe_text(spark, d):
 # Integrity
 
 
-@query("with a as (select 'org' || (user_id % 10) as org_id, count(*) as n from events group by 1) select org_id, n, cast(null as bigint) as broken_at from a")
-def x2_verify_chain(spark, d):
-    return integrity.verify(integrity.build(M.audit(spark, d)))
-
-
-@query("""with t as (select user_id as entity, event_id as seq, event_type as state, lag(event_type) over (partition by user_id order by event_id) as was from events)
-select entity, seq, was, state from t where was is not null and not (was = state or state = 'error')""")
-def x4_illegal_steps(spark, d):
-    e = M.table(spark, d, "events").select(F.col("user_id").alias("entity"), F.col("event_id").alias("seq"), F.col("event_type").alias("state"))
-    kinds = e.select("state").distinct()
-    legal = kinds.select(F.col("state").alias("was")).crossJoin(F.broadcast(kinds)).where("was = state or state = 'error'")
-    return integrity.illegal_steps(e, legal).select("entity", "seq", "was", "state")
-
-
 @query("select conv_id, string_agg('[' || (turn + 1) || '] ' || text, chr(10) || chr(10) order by turn) as prompt from (select distinct * from conversations) group by conv_id")
 def x20_grounded_prompt(spark, d):
     t = M.table(spark, d, "conversations").distinct()
@@ -550,47 +435,3 @@ def f9_tags_all(spark, d):
 def f10_records(spark, d):
     r = structured.record(F.col("text"))
     return M.structured(spark, d).agg(F.count_if(r.isNotNull()).alias("records"), F.count_if(r.isNull()).alias("prose"))
-
-
-@query(f"with {_REC} select slot_id, display from rec where list_has_any(tags, ['topic:1']) and list_has_all(tags, ['mod:0']) and is_latest order by slot_id limit 5")
-def h7_recall_by_tags(spark, d):
-    rows = structured.tagged(_records(spark, d), ["topic:1"], ["mod:0"]).where("is_latest")
-    return rows.orderBy("slot_id").limit(5).select("slot_id", "display")
-
-
-@query("select user_id as pack_id, event_id as item_id from (select *, row_number() over (partition by user_id order by event_id) as rn from events) where rn <= 5")
-def x5_context_pack(spark, d):
-    """Items of one size: the budget holds five of each pack."""
-    e = M.table(spark, d, "events").select(F.col("user_id").alias("pack_id"), F.col("event_id").alias("ordinal"), F.col("event_id").alias("item_id"), F.lit(20).alias("size"), F.lit(False).alias("mandatory"))
-    return structured.context_pack(e, 100).select("pack_id", "item_id")
-
-
-@query("select count(distinct user_id) as tasks, count(distinct user_id) filter (event_type = 'error') as failed, date_diff('day', min(ts)::date, max(ts)::date) as days, count(distinct user_id) >= 100 as gate from events")
-def a7_release_report(spark, d):
-    days = F.date_diff(F.max("ts").cast("date"), F.min("ts").cast("date"))
-    return M.table(spark, d, "events").agg(F.count_distinct("user_id").alias("tasks"), F.count_distinct(F.when(F.col("event_type") == "error", F.col("user_id"))).alias("failed"), days.alias("days"), (F.count_distinct("user_id") >= 100).alias("gate"))
-
-
-@query(f"""with {_CUR}, ask as (select vec_id as query_id, embedding::double[] as qv from embeddings where vec_id % 25 = 0),
-a as (select query_id, slot_id, row_number() over (partition by query_id order by list_cosine_similarity(vector::double[], ask.qv) desc, slot_id) as rn from cur, ask),
-b as (select query_id, slot_id, row_number() over (partition by query_id order by list_dot_product(vector::double[], ask.qv) / sqrt(list_dot_product(vector::double[], vector::double[])) desc, slot_id) as rn from cur, ask)
-select count(*) / 10.0::double / count(distinct a.query_id) as overlap from a join b using (query_id, slot_id) where a.rn <= 10 and b.rn <= 10""")
-def a10_overlap(spark, d):
-    """Mean overlap at 10 of the batched recall with itself over normalised vectors."""
-    m = M.memories(spark, d)
-    asked = M.table(spark, d, "embeddings").where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    a = vector.recall_batch(m, asked, 10).select("query_id", "slot_id")
-    b = vector.recall_batch(m.withColumn("vector", V.normalise(V.doubles(F.col("vector")))), asked, 10).select("query_id", "slot_id")
-    n = a.select("query_id").distinct().agg(F.count("*").alias("n"))
-    return a.join(b, ["query_id", "slot_id"]).agg(F.count("*").alias("hits")).crossJoin(F.broadcast(n)).select((F.col("hits") / 10.0 / F.col("n")).alias("overlap"))
-
-
-@query("""with t as (select o_orderpriority as kind, o_orderstatus as paths, count(*) as n from orders group by 1, 2) select kind, paths, greatest(0, 3 - n) as missing from t""")
-def x16_candidates(spark, d):
-    t = M.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("kind"), F.col("o_orderstatus").alias("paths")).agg(F.count("*").alias("n"))
-    return t.select("kind", "paths", F.greatest(F.lit(0), 3 - F.col("n")).alias("missing"))
-
-
-@query(f"with {_EDGES} select count(distinct src) as nodes, count(*) as edges, count(distinct edge_type) as kinds from edges")
-def g13_status(spark, d):
-    return M.edges(spark, d).agg(F.count_distinct("src").alias("nodes"), F.count("*").alias("edges"), F.count_distinct("edge_type").alias("kinds"))

@@ -94,21 +94,6 @@ def h5_rrf_from_zero(spark, d):
     return c.withColumn("b", b).select("slot_id", "rank", fused.alias("f")).orderBy(F.desc("f"), "rank").limit(10).select("slot_id", F.round("f", 6).alias("score"))
 
 
-@query()
-def h10_quantised_text(spark, d):
-    """The quantised path skips fusion; an untrained quantizer raises."""
-    m = M.memories(spark, d)
-    asked = M.table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    got = vector.ProductQuantizer().train(m).recall_batch(m, asked, 10)
-    return got.join(m.select("slot_id", "text"), "slot_id").select("query_id", "slot_id", "text", F.round("score", 5).alias("score"))
-
-
-@query()
-def v3_recall_cells(spark, d):
-    m = M.memories(spark, d)
-    return _scored(hybrid.CellIndex().fit(m).recall(m, _query_vector(spark, d), 10))
-
-
 @query(f"""with recursive {_CUR}, {_EDGES}, seed as (select slot_id from cur, q order by {_COS} desc, slot_id limit 20),
 walk(slot_id, depth) as (select slot_id, 0 from seed union select e.dst, w.depth + 1 from walk w join edges e on e.src = w.slot_id where w.depth < 2)
 select slot_id, round({_COS}, 5) as score from cur, q where slot_id in (select slot_id from walk) order by {_COS} desc, slot_id limit 10""")
@@ -123,13 +108,6 @@ def v18_perturbed(spark, d):
     return hybrid.perturbed(m, 3).join(m.select("slot_id", F.col("vector").cast("array<double>").alias("v")), "slot_id").select("slot_id", "copy", F.round(V.cosine(F.col("vector"), F.col("v")), 5).alias("near"))
 
 
-@query("""with w as (select conv_id, turn, list_transform(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> ''),
-  lambda w: list_reduce(list_transform(string_split(w, ''), lambda c: unicode(c)::bigint), lambda h, c: (xor(h, c) * 16777619) & 4294967295, 2166136261::bigint) % 64) as b from conversations)
-select conv_id, turn, array_to_string(list_transform(range(0, 64), lambda i: len(list_filter(b, lambda x: x = i))), ',') as counts from w""")
-def v19_word_hash_vectors(spark, d):
-    return M.table(spark, d, "conversations").select("conv_id", "turn", F.array_join(hybrid.word_buckets(F.col("text")).cast("array<string>"), ",").alias("counts"))
-
-
 @query("select coalesce(text, '') as text, count(*) as n, min(doc_id) as first from documents group by 1 having count(*) > 1")
 def e4_repeated_texts(spark, d):
     docs = M.table(spark, d, "documents").select(F.coalesce("text", F.lit("")).alias("text"), "doc_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import filters, integrity, oplog, vector
+from ..operators import filters, oplog, vector
 from ..sources import memory as M
 from .catalog import _COS, _CUR, _FOLD, _MEM, _TOK, _query_vector, query
 
@@ -44,11 +44,6 @@ def l3_idf(spark, d):
     return df.crossJoin(F.broadcast(n)).select("term", F.round(F.log(1 + (F.col("n") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5))), 6).alias("idf"))
 
 
-@query()
-def x1_build_chain(spark, d):
-    return integrity.build(M.audit(spark, d)).select("org_id", "seq", "prev_hash", "hash")
-
-
 _LANES = """a as (select user_id, list(distinct cast(floor(value) as bigint) % 10) as x from events where event_type = 'click' group by 1), b as (select user_id, list(distinct cast(floor(value) as bigint) % 10) as y from events where event_type = 'view' group by 1)"""
 
 
@@ -59,11 +54,6 @@ def j5_shared_results(spark, d):
     return lane("click", "x").join(lane("view", "y"), "user_id").select("user_id", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"))
 
 
-@query("select user_id from events where event_type = 'click' union select user_id from events where event_type = 'error'")
-def e1_union(spark, d):
-    return M.table(spark, d, "events").where("event_type in ('click', 'error')").select("user_id").distinct()
-
-
 @query("select c_custkey from customer except select o_custkey from orders where o_totalprice > 300000")
 def e3_except(spark, d):
     return M.table(spark, d, "customer").select("c_custkey").distinct().join(M.table(spark, d, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")

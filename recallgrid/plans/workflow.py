@@ -4,7 +4,6 @@ The adapters derive each operator's tables from the driver's by fixed rules; the
 """
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -25,11 +24,6 @@ def p1_display(spark, d):
     return structured.unwrap(M.structured(spark, d)).where("memory_id is not null").select("slot_id", "display")
 
 
-@query("select event_id, event_type, ts from events")
-def p3_redacted(spark, d):
-    return workflow.redacted(M.table(spark, d, "events"), ["user_id", "value", "props"])
-
-
 @query("select page_id, page_id % 3 = 1 as overlaps from pages")
 def f13_paths_overlap(spark, d):
     p = M.table(spark, d, "pages").select("page_id", F.array(F.concat(F.lit("src/"), (F.col("page_id") % 3).cast("string"), F.lit("/**"))).alias("a"))
@@ -125,20 +119,6 @@ def sc12_transcript(spark, d):
 # Logs and receipts
 
 
-@query("""with l as (select user_id as log_id, event_id, row_number() over (partition by user_id order by event_id) as sequence from events),
-k as (select *, sequence <> coalesce(lag(sequence) over (partition by log_id order by sequence) + 1, 1) as gap from l where event_id % 97 <> 0)
-select log_id, sequence, unnest(list_filter([case when event_id % 89 = 0 then 'json' end, case when event_id % 83 = 0 then 'repo' end, case when gap then 'sequence' end, case when gap then 'previous' end,
-case when event_id % 89 = 0 or event_id % 83 = 0 then 'hash' end], lambda x: x is not null)) as issue from k""")
-def x3_chain_issues(spark, d):
-    """A chain whose rows were dropped, edited and moved between repositories."""
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    e = M.table(spark, d, "events").select(F.col("user_id").alias("log_id"), n.alias("sequence"), F.lit("repo").alias("repo_id"), F.col("props").alias("payload"), "event_id")
-    at = e.select("log_id", F.col("sequence").cast("long").alias("sequence"), "event_id")
-    log = workflow.chained(e).join(at, ["log_id", "sequence"]).where("event_id % 97 <> 0")
-    bad = log.withColumn("payload", F.when(F.col("event_id") % 89 == 0, "{broken").otherwise(F.col("payload"))).withColumn("repo_id", F.when(F.col("event_id") % 83 == 0, "other").otherwise(F.col("repo_id")))
-    return workflow.chain_issues(bad, "repo")
-
-
 @query("""with m as (select user_id as task_id, ts < timestamp '2024-01-16' as base, (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000 as duration_ms, count(*) filter (event_type = 'error') as denials, count(*) filter (event_type = 'click') as actions from events group by 1, 2)
 select r.task_id, r.denials = 0 and (r.duration_ms < b.duration_ms or r.actions < b.actions) as improved from m r join m b using (task_id) where b.base and not r.base""")
 def a4_improved(spark, d):
@@ -148,13 +128,6 @@ def a4_improved(spark, d):
     return workflow.improved(m.where("base"), m.where("not base"))
 
 
-@query("select user_id, count(*) filter (event_type = 'error') as failed, count(*) filter (event_id % 3 = 0) as risky from events group by user_id having count(*) filter (event_type = 'error') > 0 or count(*) filter (event_id % 3 = 0) > 0")
-def a9_failures_and_risks(spark, d):
-    e = M.table(spark, d, "events").withColumn("open_risks", F.when(F.col("event_id") % 3 == 0, '["r"]').otherwise("[]"))
-    m = e.groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("failed"), F.count_if(F.json_array_length("open_risks") > 0).alias("risky"))
-    return m.where("failed > 0 or risky > 0")
-
-
 @query("select source, sum(strlen(coalesce(text, '')))::bigint as bytes, count(*) as n from documents group by source")
 def a2_bytes_by_org(spark, d):
     return M.table(spark, d, "documents").groupBy("source").agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("bytes"), F.count("*").alias("n"))
@@ -229,13 +202,6 @@ def x17_authority(spark, d):
     return workflow.authority_verdicts(cached, incoming, "2024-02-01").withColumn("absent", F.array_join("absent", ","))
 
 
-@query("""with c as (select user_id, max(event_id) - 3 as after from events where event_type = 'signup' group by 1)
-select e.user_id as task_id, event_id as sequence, sha256(props) as digest from events e left join c using (user_id) where event_id > coalesce(after, -1)""")
-def x18_context_delta(spark, d):
-    points = M.table(spark, d, "events").where("event_type = 'signup'").selectExpr("user_id as task_id", "event_id as sequence", "event_id - 3 as event_sequence")
-    return workflow.context_delta(_t(spark, d, "events", "user_id as task_id", "event_id as sequence", "props as payload"), points)
-
-
 @query("""select n_regionkey, count(*) filter (n_nationkey % 4 = 0) as issues, count(*) filter (n_nationkey % 4 = 0) = 0 as healthy from nation group by 1""")
 def x19_health(spark, d):
     status = F.when(F.col("n_nationkey") % 4 == 0, "fail").when(F.col("n_nationkey") % 3 == 0, "warn").otherwise("ok")
@@ -296,7 +262,7 @@ def g12_find_symbol(spark, d):
 
 _CODE = """code as (select n_regionkey as repo, 'n' || n_nationkey || '.py' as f, 'import os' || chr(10) || chr(10) || chr(10) || 'def helper_' || n_nationkey || '():' || chr(10) || '    return os.getcwd()' || chr(10) as src from nation
 union all select n_regionkey, 's' || s_suppkey || '.py', 'from pkg import n' || s_nationkey || chr(10) || chr(10) || chr(10) || 'class C:' || chr(10) || '    def run(self):' || chr(10) || '        return helper_' || s_nationkey || '()' || chr(10) || chr(10) || chr(10) || 'helper_' || s_nationkey || '()' || chr(10) || 'missing()' || chr(10) from supplier join nation on s_nationkey = n_nationkey),
-prints as (select repo, sha256(string_agg(f || chr(0) || src || chr(0), '' order by f)) as fingerprint from code group by repo)"""
+prints as (select repo, sha256(string_agg(f || chr(0) || sha256(src) || chr(0), '' order by f)) as fingerprint from code group by repo)"""
 
 
 @query(f"with {_CODE} select * from prints")

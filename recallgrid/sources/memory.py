@@ -38,7 +38,7 @@ def ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An audit log by user: the hash of each entry covers the one before."""
     e = table(spark, sf_dir, "events")
-    return e.select(F.concat(F.lit("org"), (F.col("user_id") % 10).cast("string")).alias("org_id"), F.col("event_id").alias("seq"), F.col("user_id").alias("slot_id"), F.col("event_type").alias("event"), F.col("ts").alias("at"))
+    return e.select(F.concat(F.lit("org"), (F.col("user_id") % 10).cast("string")).alias("org_id"), F.col("event_id").alias("seq"), F.col("user_id").alias("slot_id"), F.col("event_type").alias("event"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
 
 
 def text_files(spark: SparkSession, path: str, extensions=TEXT_EXTENSIONS) -> DataFrame:
@@ -102,3 +102,12 @@ def structured(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit('{"id":"m'), v.cast("string"), F.lit('","title":"'), title, F.lit('","content":"body '), v.cast("string"), F.lit('","tags":'), tags, latest, F.lit("}"))
     prose = F.concat(F.lit("note "), v.cast("string"))
     return table(spark, sf_dir, "embeddings").select(v.alias("slot_id"), F.when(v % 7 == 0, prose).otherwise(text).alias("text"))
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """slot_id, text: records of a code base's history, tagged by kind and file."""
+    v = F.col("vec_id")
+    kinds = F.element_at(F.array(*map(F.lit, ("decision", "refactor", "bug", "fix", "gotcha", "other"))), (v % 6 + 1).cast("int"))
+    more = F.when(v % 9 == 0, F.lit(',"decision"')).otherwise(F.lit(""))
+    text = F.concat(F.lit('{"id":"n'), v.cast("string"), F.lit('","title":"note '), kinds, F.lit('","content":"file f'), (v % 5).cast("string"), F.lit(" item "), v.cast("string"), F.lit('","tags":["'), kinds, F.lit('","file:f'), (v % 5).cast("string"), F.lit('"'), more, F.lit("]}"))
+    return table(spark, sf_dir, "embeddings").select(v.alias("slot_id"), text.alias("text"))

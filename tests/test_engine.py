@@ -48,14 +48,14 @@ def test_batch_recall_matches_single(spark):
 
 
 def test_quantised_recall_of_all_registered_queries(spark):
-    from recallgrid.plans import catalog, fusion
+    from recallgrid.plans import ledger
     from recallgrid.sources import memory
 
     sf = "/root/testdata/sf0.1"
     asked = memory.table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     want = {(r.query_id, r.slot_id) for r in vector.recall_batch(memory.memories(spark, sf), asked, 10).collect()}
     assert len(want) == 10 * asked.count()
-    for query in (catalog.v9_recall_pq, fusion.h10_quantised_text):
+    for query in (ledger.v9_recall_pq, ledger.h10_quantised_text, ledger.v3_recall_cells):
         got = {(r.query_id, r.slot_id) for r in query(spark, sf).collect()}
         print("recall@10", len(got & want) / len(want), "of", asked.count())
         assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
@@ -88,12 +88,68 @@ def test_write_log(spark):
 
 
 def test_chain_tampering(spark):
-    log = spark.createDataFrame([("o", i, i * 3, f"t{i}") for i in range(6)], "org_id string, seq long, slot_id long, at string")
+    log = spark.createDataFrame([("o", i, "save", i * 3, f"t{i}") for i in range(6)], "org_id string, seq long, event string, slot_id long, at string")
     chain = integrity.build(log)
     assert integrity.verify(chain).first().broken_at is None
     broken = lambda df: integrity.verify(df).first().broken_at
-    assert broken(chain.withColumn("slot_id", F.when(F.col("seq") == 2, F.lit(99)).otherwise(F.col("slot_id")))) == 2
+    edit = lambda c, to: chain.withColumn(c, F.when(F.col("seq") == 2, F.lit(to)).otherwise(F.col(c)))
+    assert [broken(edit(c, to)) for c, to in (("slot_id", 99), ("event", "delete"), ("at", "now"), ("hash", "0"))] == [2] * 4
     assert broken(chain.where("seq <> 3")) == 4 and broken(chain.where("seq > 0")) == 1
+    swapped = chain.withColumn("seq", F.when(F.col("seq") == 1, 2).when(F.col("seq") == 2, 1).otherwise(F.col("seq")))
+    assert broken(swapped) == 1
+    point = chain.where("seq = 4").select("org_id", "seq", "hash")
+    whole, cut = (integrity.verify(x, point).first() for x in (chain, chain.where("seq < 4")))
+    assert (whole.attested, whole.since, whole.chain_valid) == (True, 1, True) and (cut.attested, cut.since, cut.chain_valid) == (False, 0, True)
+
+
+def test_lookups_and_writes(spark):
+    m = memories(spark, [(str(i), [1.0], 1, 0, 0, 0, i == 1, False) for i in range(6)])
+    slots = lambda *ids: spark.createDataFrame([(i,) for i in ids], "slot_id long")
+    assert [(r.slot_id, r.state) for r in oplog.looked_up(m, slots(0, 1, 9)).orderBy("slot_id").collect()] == [(0, "live"), (1, "tombstoned"), (9, "no such slot")]
+    assert oplog.got(m, slots(0)).first().text == "0"
+    for dead in (1, 9):
+        with pytest.raises(PySparkException):
+            oplog.got(m, slots(dead)).collect()
+    first = oplog.page(m, 0, 3).collect()
+    assert [r.slot_id for r in first] == [0, 2, 3] and first[0].next_slot == 4 and oplog.page(m, 4, 3).first().next_slot == 4294967295
+    calls = spark.createDataFrame([("a", [1.0, 2.0], None), ("b", [3.0, 4.0], 2)], "text string, vector array<float>, layer int")
+    assert [(r.layer, r.created_at_ns) for r in oplog.inserted(calls, 2, 5).collect()] == [(0, 5), (2, 5)]
+    with pytest.raises(PySparkException):
+        oplog.inserted(calls, 3, 5).collect()
+    ops = spark.createDataFrame([(1, "insert", "a", '{"id":"a"}'), (2, "update", "a", '{"id":"a","n":2}'), (3, "insert", "b", '{"id":"b"}'), (4, "remove", "b", None)], "op_seq long, op string, id string, rec string")
+    assert [(r.id, r.slot_id) for r in oplog.backend(ops).collect()] == [("a", 2)]
+
+
+def test_postings_equal_the_scan(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(list("abcdefgh"), int(rng.integers(0, 30))))) for i in range(200)], "id long, text string")
+    index = lexical.Postings(spark, str(tmp_path / "index"), buckets=4).write(docs)
+    for q in ("a b", "c", "h h g zz", "zz", "  "):
+        want, got = ([(r.id, round(r.score, 9)) for r in x.collect()] for x in (lexical.bm25(docs, q, 20), index.search(q, 20)))
+        assert got == want
+
+
+def test_sql_functions(spark):
+    from recallgrid.functions.register import register
+
+    assert "chunk_words" in register(spark)
+    assert spark.sql("select cosine_sim(array(1d, 0d), array(1d, 1d)), tokenize('Große, 5!'), slug(' A b!'), slug('!'), whole_days(timestamp '2024-01-01', timestamp '2024-01-03 01:00:00')").first()[1:] == (["große", "5"], "a-b", "default", 2)
+    assert [tuple(r) for r in spark.sql("select * from chunk_words('a b c', 2)").collect()] == [(0, "a b"), (1, "c")]
+
+
+def test_stream_states_and_snapshot(spark, tmp_path):
+    schema = "entity long, seq long, state string"
+    for n, rows in enumerate([[(1, 1, "new"), (1, 2, "run"), (2, 1, "new")], [(1, 3, "new"), (1, 4, "done"), (2, 1, "run"), (2, 2, "run")]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+        out = index.states(stream, [("new", "run"), ("run", "done")]).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
+        out.awaitTermination()
+    got = {(r.entity, r.seq, r.state): r.legal for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(1, 1, "new"): True, (1, 2, "run"): True, (2, 1, "new"): True, (1, 3, "new"): False, (1, 4, "done"): True, (2, 1, "run"): False, (2, 2, "run"): True}
+    events = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    assert {r.entity: r.state for r in index.latest(events).collect()} == {1: "done", 2: "run"}
+    rows, cursor = index.since(events.where("entity = 1"), 1, 2)
+    assert [r.seq for r in rows.collect()] == [2, 3] and cursor == 3
 
 
 def test_text_functions(spark):
@@ -127,6 +183,7 @@ def test_stream_keeps_the_index(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "index"))
     assert got.count() == 2
     assert index.lag(spark.read.parquet(str(tmp_path / "ops")), got).first().lag == 0
+    assert sorted((r.slot_id, r.text) for r in index.snapshot(spark, str(tmp_path / "index")).collect()) == [(7, "a"), (8, "b")]
 
 
 def test_records(spark):

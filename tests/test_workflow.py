@@ -64,12 +64,17 @@ def test_path_overlap(spark, a, b, hit):
 
 
 def test_chain_faults(spark):
-    log = workflow.chained(spark.createDataFrame([(1, i, "r", '{"a":1}') for i in (1, 2, 3, 4)], "log_id long, sequence long, repo_id string, payload string"))
-    assert workflow.chain_issues(log, "r").count() == 0
-    edited = log.withColumn("payload", F.when(F.col("sequence") == 2, "{}").otherwise(F.col("payload")))
-    assert [tuple(r) for r in workflow.chain_issues(edited, "r").collect()] == [(1, 2, "hash")]
+    rows = [("1", i, "r", "started", f"2024-01-0{i}", "t", '{"a":1}') for i in (1, 2, 3, 4)]
+    log = workflow.chained(spark.createDataFrame(rows, ["log_id", *workflow.EVENT_FIELDS]))
+    heads = log.groupBy("log_id").agg(F.max_by("event_hash", "sequence").alias("head"))
+    assert workflow.chain_issues(log, "r", heads).count() == 0
+    for c in ("payload", "event_type", "timestamp", "task_id"):
+        edited = log.withColumn(c, F.when(F.col("sequence") == 2, "{}").otherwise(F.col(c)))
+        assert [tuple(r) for r in workflow.chain_issues(edited, "r", heads).collect()] == [("1", 2, "hash")]
     cut = log.where("sequence <> 2")
-    assert sorted(r.issue for r in workflow.chain_issues(cut, "r").collect()) == ["previous", "sequence"]
+    assert sorted(r.issue for r in workflow.chain_issues(cut, "r", heads).collect()) == ["previous", "sequence"]
+    assert [tuple(r) for r in workflow.chain_issues(log.where("sequence < 4"), "r", heads).collect()] == [("1", 3, "head")]
+    assert [tuple(r) for r in workflow.chain_issues(log.limit(0), "r", heads).collect()] == [("1", 0, "head")]
 
 
 def test_later_empty_risks_clear(spark):
