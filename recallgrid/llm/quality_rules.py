@@ -222,23 +222,18 @@ def _count(batches):
     import numpy as np
     import pyarrow as pa
 
-    held: dict = {}  # group -> words, their inner n-grams, counts, joints
+    held: dict = {}  # group -> words, their inner n-grams and sizes, how often each came, joints and how often
     grams: dict = {}
 
-    def add(g, key, n):
-        old = grams.get(g, (np.empty(0, np.uint64), np.empty(0, np.int64)))
-        uniq, inv = np.unique(np.concatenate([old[0], key]), return_inverse=True)
-        grams[g] = uniq, np.bincount(inv, np.concatenate([old[1], n]), len(uniq)).astype(np.int64)
+    def merged(keys, counts):
+        uniq, inv = np.unique(keys, return_inverse=True)
+        return uniq, np.bincount(inv, counts, len(uniq)).astype(np.int64)
 
     def fold():
-        for g, (words, keys, sizes, seen, joint) in held.items():
-            n = np.zeros(len(words.index), np.int64)
-            for x in seen:
-                n[: len(x)] += x
-            j = np.concatenate([x for x, _ in joint])
-            m = np.concatenate([x for _, x in joint])
-            first, second = joint_grams(j)
-            add(g, np.concatenate([*keys, first, second]), np.concatenate([np.repeat(n, np.concatenate(sizes)), m, m]))
+        for g, (_, keys, sizes, seen, joint, times) in held.items():
+            first, second = joint_grams(joint)
+            old = grams.get(g, (np.empty(0, np.uint64), np.empty(0, np.int64)))
+            grams[g] = merged(np.concatenate([old[0], *keys, first, second]), np.concatenate([old[1], np.repeat(seen, np.concatenate(sizes)), times, times]))
         held.clear()
 
     for b in batches:
@@ -246,15 +241,18 @@ def _count(batches):
             for g, _, words, n in _by_group(groups, [raw.split() for raw in bodies]):
                 if not words:
                     continue
-                have, keys, sizes, seen, joint = held.setdefault(g, (Words(), [], [], [], []))
-                ids, key, count = have.number(words)
+                have = held.setdefault(g, [Words(), [], [], np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)])
+                ids, key, count = have[0].number(words)
                 if key is not None:
-                    keys.append(key)
-                    sizes.append(count)
-                seen.append(np.bincount(ids))
+                    have[1].append(key)
+                    have[2].append(count)
+                seen = np.bincount(ids, minlength=len(have[0].index))
+                seen[: len(have[3])] += have[3]
+                have[3] = seen
                 opens = (np.cumsum(n) - n)[n > 0]
-                joint.append(np.unique(joints(have.tail[ids], have.head[ids], opens), return_counts=True))
-            if sum(len(x[0].index) + sum(len(j) for j, _ in x[4]) for x in held.values()) > 600_000:
+                joint, times = np.unique(joints(have[0].tail[ids], have[0].head[ids], opens), return_counts=True)
+                have[4], have[5] = merged(np.concatenate([have[4], joint]), np.concatenate([have[5], times]))
+            if sum(len(x[0].index) + len(x[4]) for x in held.values()) > 300_000:
                 fold()
     fold()
     for g, (k, n) in grams.items():
@@ -269,7 +267,7 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(trimmed(_count), "grp string, gram long, n long").groupBy("grp", "gram").agg(F.sum("n").alias("n"))
 
 
-def score(docs: DataFrame, cache_words: int = 400_000, thin: int = 10_000) -> DataFrame:
+def score(docs: DataFrame, cache_words: int = 250_000, thin: int = 10_000) -> DataFrame:
     """doc_id, grp, the base statistics, n_predicted and log_ppl (null without words).
 
     ``thin``: a language of as many symbols has half the weight that a large one's model has.
