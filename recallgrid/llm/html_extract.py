@@ -238,10 +238,14 @@ def roles(seed: list, counts: dict, constant: float = 0.9, most: float = 0.75) -
     met, same, chars, links = ([counts.get(i, (0, 0, 0, 0))[k] for i in range(n)] for k in range(4))
     fixed = [met[i] > 1 and same[i] >= constant * met[i] and chars[i] > 0 for i in range(n)]
     slots = [0 if fixed[i] else chars[i] - links[i] for i in range(n)]
-    if 2 * sum(slots) < sum(chars) - sum(links):
-        return {}  # most text is the same everywhere: copies, of which constant text says nothing
     headed = [t in ("h1", "h2") for t, _ in split]
     hints = {i for i, (t, names) in enumerate(split) if _holds_content(t, names)}
+    body_ = set(hints) or {0}
+    for i in range(1, n):
+        if seed[1][i] in body_:
+            body_.add(i)
+    if (hints or met[0] < 5) and 2 * sum(slots[i] for i in body_) < sum(chars[i] - links[i] for i in body_):
+        return {}  # most of the content is the same everywhere: copies, of which constant text says nothing
     whole = slots[:]
     for i in range(n - 1, 0, -1):
         whole[seed[1][i]] += whole[i]
