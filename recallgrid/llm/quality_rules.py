@@ -385,6 +385,7 @@ def _bands(rows: DataFrame, below: float, above: float, least_sd: float, enough:
     cells = {(r.grp, r.size_class): r.n for r in found}
     pools, targets = _pools(cells, enough)
     middle = {p: sum(cells[c] * c[1] for c in pool) / max(sum(cells[c] for c in pool), 1) for pool, p in pools.items()}
+    size = {p: sum(cells[c] for c in pool) for pool, p in pools.items()}
     members = spark.createDataFrame([(g, s, p) for pool, p in pools.items() for g, s in pool], "grp string, size_class long, pool int")
     sound = rows.where(~F.col("base_failed")).select("grp", "size_class", "log_ppl").join(F.broadcast(members), ["grp", "size_class"])
     q = {r.pool: r.q for r in sound.groupBy("pool").agg(F.percentile_approx("log_ppl", F.array(*(F.lit(x) for x in (0.25, 0.5, 0.75))), 10_000).alias("q")).collect()}
@@ -392,7 +393,8 @@ def _bands(rows: DataFrame, below: float, above: float, least_sd: float, enough:
     def shape(pool, s):
         """Median and spread to each side, for a length below the pool's as wide as means of fewer symbols are."""
         a, b, c = q[pool]
-        wider = 2 ** (max(middle[pool] - s, 0) / 2)
+        # Quartiles of few texts are uncertain, so their spread is taken wider: by half for twenty texts, a hundredth for a thousand.
+        wider = 2 ** (max(middle[pool] - s, 0) / 2) * (1 + 10 / max(size[pool], 1))
         return b, (b - a) * wider, (c - b) * wider
 
     out = []
