@@ -506,6 +506,24 @@ def test_pipeline(spark, docs, pairs):
         at = out
 
 
+def test_pipeline_judges_rows_without_an_id(spark):
+    """Rows that lose their doc_id get the verdict, and the text, that they have under a number above all others."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    bare = docs.withColumn("doc_id", F.when(F.col("doc_id") % 7 != 3, F.col("doc_id")))
+    last = docs.withColumn("doc_id", F.when(F.col("doc_id") % 7 != 3, F.col("doc_id")).otherwise(F.col("doc_id") + 10**9))
+    with_text = 0
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got, want = ([(r.doc_id, r.text) for r in corpus_pipeline.materialize(stage(spark, x, SF), "test").collect()] for x in (bare, last))
+        assert sorted((d, t) for d, t in got if d is not None) == sorted((d, t) for d, t in want if d < 10**9), name
+        texts = {t for d, t in want if d >= 10**9}
+        assert {t for d, t in got if d is None} == texts, name
+        with_text += len(texts)
+    assert with_text
+    bench = " ".join(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("text").limit(3).collect())
+    two = spark.createDataFrame([(None, f"some words {bench}"), (None, "clean words that no benchmark holds"), (5, "other clean words")], "doc_id long, text string")
+    assert sorted(r.text for r in corpus_pipeline.decontaminated(spark, two, SF).collect()) == ["clean words that no benchmark holds", "other clean words"]
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
