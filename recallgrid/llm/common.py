@@ -61,8 +61,17 @@ def worker_state(key, make):
     return _state[key]
 
 
-def trimmed(run):
-    """The Arrow function, giving freed memory back after each task: idle workers outlive their stage."""
+def drop_state(key=None) -> None:
+    """Forget what other operators left in this worker."""
+    for other in [k for k in _state if k != key]:
+        del _state[other]
+
+
+def trimmed(run, key=None):
+    """The Arrow function, giving freed memory back after each task: idle workers outlive their stage.
+
+    ``key``: the function's own worker_state; what any other operator kept goes first.
+    """
 
     def bounded(batches):
         import ctypes
@@ -70,6 +79,7 @@ def trimmed(run):
 
         import pyarrow as pa
 
+        drop_state(key)
         try:
             yield from run(batches)
         finally:
@@ -83,12 +93,13 @@ def trimmed(run):
 
 
 def by_bytes(*columns, limit: int = 2_000_000):
-    """Slices of parallel lists of which the last holds texts: about ``limit`` bytes each."""
-    start = size = 0
-    for i, raw in enumerate(columns[-1]):
-        size += len(raw)
-        if size >= limit:
-            yield tuple(c[start : i + 1] for c in columns)
-            start, size = i + 1, 0
-    if start < len(columns[-1]):
-        yield tuple(c[start:] for c in columns)
+    """Lists of slices of Arrow columns of which the last holds texts: about ``limit`` bytes each, made one at a time."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    end = np.cumsum(pc.binary_length(columns[-1]).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = done = 0
+    while start < len(end):
+        stop = min(int(np.searchsorted(end, done + limit)) + 1, len(end))
+        yield tuple(c.slice(start, stop - start).to_pylist() for c in columns)
+        start, done = stop, int(end[stop - 1])

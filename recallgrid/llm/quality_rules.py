@@ -237,7 +237,7 @@ def _count(batches):
         held.clear()
 
     for b in batches:
-        for groups, bodies in by_bytes(b.column("grp").to_pylist(), b.column("body").to_pylist()):
+        for groups, bodies in by_bytes(b.column("grp"), b.column("body")):
             for g, _, words, n in _by_group(groups, [raw.split() for raw in bodies]):
                 if not words:
                     continue
@@ -320,7 +320,7 @@ def score(docs: DataFrame, cache_words: int = 250_000, thin: int = 10_000) -> Da
             return np.logaddexp(own + np.log(share), other + np.log1p(-share))
 
         for b in batches:
-            for ids, groups, bodies in by_bytes(*(b.column(c).to_pylist() for c in ("doc_id", "grp", "body"))):
+            for ids, groups, bodies in by_bytes(*(b.column(c) for c in ("doc_id", "grp", "body"))):
                 if sum(len(x[0].index) + len(x[2]) for x in cache.values()) > cache_words:
                     cache.clear()
                 rows = [text_stats(raw) for raw in bodies]
@@ -339,7 +339,7 @@ def score(docs: DataFrame, cache_words: int = 250_000, thin: int = 10_000) -> Da
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _group().alias("grp"), body().alias("body"))
-    return rows.mapInArrow(trimmed(run), "doc_id long, grp string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_predicted long, log_ppl double")
+    return rows.mapInArrow(trimmed(run, key), "doc_id long, grp string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_predicted long, log_ppl double")
 
 
 def _pools(cells: dict, enough: int) -> tuple[dict, list]:
