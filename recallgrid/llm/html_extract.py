@@ -10,8 +10,9 @@ its host's wrapper again; what lies outside of the region and the template's tex
 slots within yield the text.
 
 What the wrapper leaves is judged by markup: elements that name themselves menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles or reader comments go, and so do lists of links outside
-of article and main. That alone decides pages whose host has one distinct tree, hosts whose pages are
+sidebars, notices, adverts, forms, scripts, styles or reader comments go, and so do blocks of three links or
+more, mostly linked, outside of article and main, and there any list of nothing but links if article or main
+has text. That alone decides pages whose host has one distinct tree, hosts whose pages are
 copies of one, and those without a clear region. A host's pages meet in no single task: alignment counts
 are summed in each task and by (host, node).
 
@@ -273,6 +274,18 @@ def roles(seed: list, counts: dict, constant: float = 0.9, most: float = 0.75) -
     return found
 
 
+def _hinted(root: Node) -> bool:
+    """Whether an article or main holds text."""
+    todo = [(root, False)]
+    while todo:
+        x, inside = todo.pop()
+        inside = inside or _holds_content(x.tag, x.names)
+        if inside and any(isinstance(k, str) and k.strip() for k in x.kids):
+            return True
+        todo.extend((k, inside) for k in x.kids if not isinstance(k, str) and k.tag not in RAW)
+    return False
+
+
 def _densities(root: Node) -> dict:
     """For each element its linked characters, all characters and links."""
     order, todo = [], [(root, None, False)]
@@ -319,9 +332,9 @@ def main_text(html: str, wrapper: tuple[list, dict] | None = None, by_name: bool
 
     def menu(k) -> bool:
         if not dense:
-            dense.update(_densities(root))
+            dense.update(_densities(root), hinted=_hinted(root))
         linked, whole, n = dense.get(id(k), (0, 0, 0))
-        return n >= 3 and linked > 0.6 * whole
+        return n >= 3 and linked > 0.6 * whole or dense["hinted"] and k.tag in ("ul", "ol") and 0 < linked == whole
 
     stack = [(iter(root.kids), False, id(root) in mute, True)]
     while stack:
