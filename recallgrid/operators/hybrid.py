@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
 from . import graph, lexical, structured, vector
 
 
@@ -111,15 +112,11 @@ def perturbed(memories: DataFrame, copies: int, size: float = 0.05) -> DataFrame
     """slot_id, copy, vector: unit vectors with fixed noise, to fan a corpus out."""
     rows = memories.select("slot_id", F.col("vector").cast("array<double>").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
     noise = lambda i: ((F.col("slot_id") * 31 + (i + 1) * 17 + F.col("copy") * 101) % 2001 - 1000) / 1000.0 * size
-    from ..functions import vectors as V
-
     return rows.withColumn("v", F.transform("v", lambda x, i: x + noise(i))).select("slot_id", "copy", V.normalise(F.col("v")).alias("vector"))
 
 
 def word_vector(text: Column, dim: int = 64) -> Column:
     """word_buckets() as a vector of length one (zeros for a text without words)."""
-    from ..functions import vectors as V
-
     return V.normalise(word_buckets(text, dim).cast("array<double>"))
 
 
@@ -135,5 +132,5 @@ def word_buckets(text: Column, dim: int = 64) -> Column:
     """How many words fall into each of ``dim`` buckets by 32-bit FNV-1a over code points."""
     words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), "")
     step = lambda h, c: (h.bitwiseXOR(F.ascii(c).cast("long")) * F.lit(16777619)).bitwiseAND(F.lit(0xFFFFFFFF))
-    bucket = F.transform(words, lambda w: F.aggregate(F.array_remove(F.split(w, ""), ""), F.lit(2166136261).cast("long"), step) % dim)
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: F.size(F.filter(bucket, lambda x: x == b)))
+    bucket = F.transform(words, lambda w: (F.aggregate(F.array_remove(F.split(w, ""), ""), F.lit(2166136261).cast("long"), step) % dim).cast("int"))
+    return V.once(bucket, lambda found: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: F.size(found) - F.size(F.array_remove(found, b))))

@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from recallgrid.functions import vectors as V
 from recallgrid.operators import codegraph, hybrid, vector, workflow
 from recallgrid.sources import memory as M
 
@@ -38,6 +39,13 @@ def test_word_buckets(spark):
     assert all(got[i] == plain(t) for i, t in enumerate(texts) if t is not None)
 
 
+def test_word_vectors_read_their_text_once(spark):
+    """A text that differs at each evaluation shows how often there was one: five words, and a vector of length one."""
+    rows = spark.range(40).select(hybrid.word_buckets(F.uuid()).alias("n"), hybrid.word_vector(F.uuid()).alias("v"), V.normalise(F.array(F.rand(), F.rand())).alias("u")).collect()
+    assert {sum(r.n) for r in rows} == {5}
+    assert {round(sum(x * x for x in v), 9) for r in rows for v in (r.v, r.u)} == {1.0}
+
+
 def test_rerank_keeps_order_without_scores(spark):
     hits = spark.createDataFrame([(7, "a", 1), (8, "bb", 2), (9, "c", 3)], "slot_id long, text string, rank int")
     assert [r.slot_id for r in hybrid.rerank(hits, 2).collect()] == [7, 8]
